@@ -9,9 +9,9 @@ tokens is lengthened, and a pair is verified only if it shares as many prefix to
 of both l demands.
 
 Documents with equal sets are one class and travel once. A token that more than ``group_most``
-classes share yields a star around its first class instead of all pairs; the classes of such stars
-are then compared exactly, all with all but for those already linked, in blocks of bounded size whose
-tasks return spanning links alone. So no link between components is lost and no list of pairs grows
+classes share yields a star around its first class instead of all pairs; the classes that stars hold
+together are compared with the one among them that is in most groups, and then, those that this left
+apart, with all others, in blocks of bounded size whose tasks return spanning links alone. So no link between components is lost and no list of pairs grows
 with the square of a group.
 
 Defined results: a text with fewer than k words is one shingle of all its words; a null text or one
@@ -34,8 +34,8 @@ from textveil.llm.common import checkpointed
 from textveil.llm.components import connected_components
 from textveil.llm.textblock import blocks, mix, windows
 
-#: Rows of the table of frequent shingles, which is broadcast: a megabyte.
-FREQUENT_MOST = 1 << 16
+#: Rows of the table of frequent shingles, which is broadcast: four megabytes. A task reports a quarter at most.
+FREQUENT_MOST = 1 << 18
 #: Ids up to which the list of documents to verify is broadcast: some 32 MB.
 BROADCAST_IDS = 1_000_000
 #: A star outranks every demand for shared prefix tokens.
@@ -68,40 +68,45 @@ def least_common(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _classes_and_counts(batches, k: int) -> Iterator[pa.RecordBatch]:
+def _classes_and_counts(batches, k: int, count_frequent: bool) -> Iterator[pa.RecordBatch]:
     """Rows (kind 0, id, class, size), and (kind 1, null, shingle, documents) for shingles that a run of texts repeats."""
     held: list[np.ndarray] = []
-    heavy: dict[int, int] = {}
+    heavy = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    seen: set[int] = set()
+    room = 0
 
     def count() -> None:
+        nonlocal heavy
         if held:
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            for h, c in zip(values[n > 2].view(np.int64).tolist(), n[n > 2].tolist(), strict=True):
-                heavy[h] = heavy.get(h, 0) + c
+            heavy = _summed(np.concatenate([heavy[0], values[n > 1]]), np.concatenate([heavy[1], n[n > 1]]), FREQUENT_MOST)
             held.clear()
-            if len(heavy) > 4 * FREQUENT_MOST:
-                kept = sorted(heavy.items(), key=lambda x: -x[1])[:FREQUENT_MOST]
-                heavy.clear()
-                heavy.update(kept)
 
     for batch in batches:
-        keys, sizes, room = [], [], 0
-        seen: set[int] = set()
+        keys, sizes = [], []
         for s in shingle_sets(batch.column(1), k):
             keys.append(class_key(s))
             sizes.append(len(s))
-            if keys[-1] not in seen:
+            if count_frequent and keys[-1] not in seen:
                 seen.add(keys[-1])
                 held.append(s)
                 room += len(s)
-            if room > 1 << 20:
+            if room > 1 << 21:
                 count()
                 room = 0
-        count()
         n = len(keys)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column(0).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["kind", "id", "key", "n"])
-    top = sorted(heavy.items(), key=lambda x: -x[1])[: FREQUENT_MOST // 4]
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int8)), pa.nulls(len(top), pa.int64()), pa.array([h for h, _ in top], pa.int64()), pa.array([c for _, c in top], pa.int64())], ["kind", "id", "key", "n"])
+    count()
+    value, n = _summed(*heavy, FREQUENT_MOST // 4)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int8)), pa.nulls(len(n), pa.int64()), pa.array(value.view(np.int64)), pa.array(n)], ["kind", "id", "key", "n"])
+
+
+def _summed(values: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Totals by value, the ``most`` largest."""
+    values, at = np.unique(values, return_inverse=True)
+    n = np.bincount(at, weights=n, minlength=len(values)).astype(np.int64)
+    top = np.argsort(-n, kind="stable")[:most]
+    return values[top], n[top]
 
 
 def ordered_tokens(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,23 +234,21 @@ def _pairs(batches, percent: int, group_most: int) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs that link, from rows (a, b, id, set) sorted by pair."""
-    last = None
+    """Pairs that link, from rows (a, part, id, set): the set of a itself comes first in each part."""
+    centre = None
     for batch in batches:
-        a, b, sets = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+        a, part, ids, sets = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
         links = []
-        for i in range(len(a)):
-            pair = (int(a[i]), int(b[i]))
-            own = np.frombuffer(sets[i].as_buffer(), dtype=np.uint64)
-            if last is not None and last[0] == pair:
-                common = len(np.intersect1d(last[1], own, assume_unique=True))
-                if 100 * common >= percent * (len(own) + len(last[1]) - common):
-                    links.append(pair)
-                last = None
+        for i, own in enumerate(zip(a, part, strict=True)):
+            values = np.frombuffer(sets[i].as_buffer(), dtype=np.uint64)
+            if ids[i] == a[i]:
+                centre = (own, values.copy())
+            elif centre[0] != own:
+                raise ValueError(f"the set of {own} is missing")
             else:
-                last = (pair, own)
-        if last is not None:
-            last = (last[0], last[1].copy())
+                common = len(np.intersect1d(centre[1], values, assume_unique=True))
+                if 100 * common >= percent * (len(values) + len(centre[1]) - common):
+                    links.append((a[i], ids[i]))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
 
@@ -294,39 +297,63 @@ def _block_links(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``(id, sets)`` of the documents whose id is in ``ids(id)``, without repeats; sets are packed hashes."""
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int, unique: bool) -> DataFrame:
+    """``(id, sets)`` of the documents whose id is in ``ids(id)``; sets are packed hashes. Without ``unique``, rows that repeat an id count once."""
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], ["id", "sets"])
 
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, sets binary")
+    chosen = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    if not unique:
+        chosen = chosen.groupBy("id").agg(F.min("text").alias("text"))
+    return chosen.mapInArrow(run, "id long, sets binary")
+
 
+def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, unique: bool, part_rows: int = 512) -> DataFrame:
+    """The pairs ``(a, b)`` that link. The set of a travels once for every ``part_rows`` of its partners."""
+    parts = F.ceil(F.count("*") / part_rows)
+    met = checkpointed(pairs.join(pairs.groupBy("a").agg(parts.alias("parts")), "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b"))
+    rows = met.select("a", "part", F.col("b").alias("id")).union(met.select("a", "part", "a").distinct())
+    sets = _sets_of(docs, checkpointed(rows.select("id").distinct()), k, unique)
+    rows = rows.join(sets, "id").select("a", "part", "id", "sets").repartition("a", "part").sortWithinPartitions("a", "part", F.col("id") != F.col("a"))
+    return checkpointed(rows.mapInArrow(lambda b: _verified(b, percent), "a long, b long"))
 
-def _cluster_links(docs: DataFrame, stars: DataFrame, links: DataFrame, k: int, percent: int, block_rows: int, block_tokens: int) -> DataFrame:
-    """Links between components within the clusters that stars span. ``stars(a, b, na, nb)`` and ``links(a, b)`` hold ids."""
-    cluster = connected_components(stars)
-    size = stars.select(F.col("a").alias("node"), F.col("na").alias("n")).union(stars.select("b", "nb")).distinct()
+
+def _clusters(stars: DataFrame) -> DataFrame:
+    """``(node, n, cluster, main)``: clusters that stars ``(a, b, na, nb, tokens)`` span; main is the node in the most groups."""
+    nodes = stars.select(F.col("b").alias("node"), F.col("nb").alias("n"), "tokens").union(stars.select("a", "na", "tokens"))
+    nodes = nodes.groupBy("node").agg(F.max("n").alias("n"), F.max("tokens").alias("tokens"))
+    placed = checkpointed(nodes.join(connected_components(stars), "node").withColumnRenamed("component", "cluster"))
+    main = placed.groupBy("cluster").agg(F.max_by("node", F.struct("tokens", "node")).alias("main"))
+    return checkpointed(placed.join(main, "cluster").select("node", "n", "cluster", "main"))
+
+
+def _cluster_links(docs: DataFrame, clusters: DataFrame, links: DataFrame, k: int, percent: int, unique: bool, block_rows: int, block_tokens: int) -> DataFrame:
+    """Links within clusters between components of ``links(a, b)``."""
     comp = connected_components(links)
     member = checkpointed(
-        cluster.join(size, "node").join(comp.withColumnRenamed("component", "comp"), "node", "left").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "n", F.coalesce("comp", "node").alias("comp"))
+        clusters.join(comp.withColumnRenamed("component", "comp"), "node", "left").select(F.col("node").alias("id"), "cluster", "n", F.coalesce("comp", "node").alias("comp"))
     )
     each = member.groupBy("cluster", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
-    whole = each.groupBy("cluster").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens")).where("comps > 1")
-    parts = F.ceil(F.greatest(F.col("rows") / block_rows, F.col("tokens") / block_tokens)).cast("long")
-    # The members of the main component are only compared with others: blocks below ``parts`` are theirs.
-    placed = member.join(whole.select("cluster", "main", parts.alias("parts")), "cluster")
-    block = F.pmod(F.xxhash64("id"), F.col("parts")) + F.when(F.col("comp") == F.col("main"), 0).otherwise(F.col("parts"))
-    placed = placed.withColumn("block", block)
-    outside = F.sequence(F.col("parts"), 2 * F.col("parts") - 1)
-    other = F.when(F.col("block") < F.col("parts"), outside).otherwise(F.concat(F.sequence(F.lit(0), F.col("parts") - 1), outside))
+    whole = each.groupBy("cluster").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.max("rows").alias("rows"), F.max("tokens").alias("tokens"), F.sum("rows").alias("all_rows"), F.sum("tokens").alias("all_tokens")).where("comps > 1")
+
+    def parts(rows, tokens):
+        return F.greatest(F.lit(1), F.ceil(F.greatest(F.col(rows) / block_rows, F.col(tokens) / block_tokens)).cast("long"))
+
+    # The members of the main component are compared with others alone: blocks below ``inner`` are theirs.
+    whole = whole.select("cluster", "main", parts("rows", "tokens").alias("inner"), (F.col("all_rows") - F.col("rows")).alias("rows"), (F.col("all_tokens") - F.col("tokens")).alias("tokens"))
+    placed = member.join(whole.select("cluster", "main", "inner", parts("rows", "tokens").alias("outer")), "cluster")
+    block = F.when(F.col("comp") == F.col("main"), F.pmod(F.xxhash64("id"), "inner")).otherwise(F.col("inner") + F.pmod(F.xxhash64("id"), "outer"))
+    placed = checkpointed(placed.select("cluster", "id", "comp", "inner", "outer", block.alias("block")))
+    outside = F.sequence(F.col("inner"), F.col("inner") + F.col("outer") - 1)
+    other = F.when(F.col("block") < F.col("inner"), outside).otherwise(F.concat(F.sequence(F.lit(0), F.col("inner") - 1), outside))
     sent = placed.withColumn("other", F.explode(other)).select(
         "cluster", "id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    sets = _sets_of(docs, checkpointed(placed.select("id").distinct()), k)
+    sets = _sets_of(docs, checkpointed(placed.select("id").distinct()), k, unique)
 
     def run(rows: pa.Table) -> pa.Table:
         return _block_links(rows, percent)
@@ -334,42 +361,56 @@ def _cluster_links(docs: DataFrame, stars: DataFrame, links: DataFrame, k: int,
     return sent.join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
-    group_most: int = 12, block_rows: int = 256, block_tokens: int = 1 << 18,
+def linked_components(
+    docs: DataFrame, k: int, percent: int, candidates, count_frequent: bool = True, unique: bool = True,
+    group_most: int = 12, block_rows: int = 512, block_tokens: int = 1 << 19,
 ) -> DataFrame:
-    """``(id_col, n_shingles, component_id)`` of every document: see the module."""
+    """``(id, n, component, copies)`` of every row of ``docs(id, text)``: its set's size, its component, and the rows of its class.
+
+    ``candidates(table)`` is given the broadcast table of frequent shingles and returns the function
+    that makes rows (token, class, size * 8 + demand) of batches of ``docs``; classes that share as
+    many tokens as they demand are compared. Without ``unique``, many rows may repeat an id and its text.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    found = checkpointed(docs.mapInArrow(lambda b: _classes_and_counts(b, k), "kind byte, id long, key long, n long"))
-    top = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).collect()
-    frequent = np.array([r.key for r in top], dtype=np.int64).view(np.uint64)
-    counts = np.array([r.n for r in top], dtype=np.float64)[np.argsort(frequent)]
-    table = spark.sparkContext.broadcast((np.sort(frequent), counts))
+    found = checkpointed(docs.mapInArrow(lambda b: _classes_and_counts(b, k, count_frequent), "kind byte, id long, key long, n long"))
+    top = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).toArrow() if count_frequent else None
+    frequent = top.column("key").to_numpy().view(np.uint64) if top is not None else np.zeros(0, np.uint64)
+    order = np.argsort(frequent)
+    counts = top.column("n").to_numpy().astype(np.float64)[order] if top is not None else np.zeros(0)
+    table = spark.sparkContext.broadcast((frequent[order], counts))
     found = found.where("kind = 0").select("id", "key", "n")
-    classes = found.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n"))
+    classes = found.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
 
-    prefixes = docs.mapInArrow(lambda b: _prefix_rows(b, k, percent, *table.value), "token long, key long, meta long")
-    sorted_rows = prefixes.repartition("token").sortWithinPartitions("token", "key")
+    tokens = docs.mapInArrow(candidates(table), "token long, key long, meta long")
+    sorted_rows = tokens.repartition("token").sortWithinPartitions("token", "key")
     pairs = sorted_rows.mapInArrow(lambda b: _pairs(b, percent, group_most), "a long, b long, need long, shared long")
     pairs = pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared")).where("shared >= need")
     for side in ("a", "b"):
         names = classes.select(F.col("key").alias(side), F.col("first").alias(f"{side}_id"), F.col("n").alias(f"n{side}"))
         pairs = pairs.join(names, side)
-    pairs = checkpointed(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "na", "nb", (F.col("shared") >= STAR).alias("star")))
-
-    fit = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    ends = fit.withColumn("id", F.explode(F.array("a", "b")))
-    sets = _sets_of(docs, checkpointed(ends.select("id").distinct()), k)
-    met = ends.join(sets, "id").select("a", "b", "id", "sets").repartition("a", "b").sortWithinPartitions("a", "b", "id")
-    links = checkpointed(met.mapInArrow(lambda b: _verified(b, percent), "a long, b long"))
-    stars = pairs.where("star").select("a", "b", "na", "nb")
-    if not stars.isEmpty():
-        links = checkpointed(links.union(_cluster_links(docs, stars, links, k, percent, block_rows, block_tokens)))
+    pairs = checkpointed(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "na", "nb", F.floor(F.col("shared") / STAR).alias("tokens")))
+
+    fit = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("tokens") == 0)
+    verify = pairs.where(fit).select("a", "b")
+    stars = pairs.where("tokens > 0")
+    starry = not stars.isEmpty()
+    if starry:
+        clusters = _clusters(stars)
+        verify = verify.union(clusters.where("node <> main").select(F.col("main").alias("a"), F.col("node").alias("b")))
+    links = _verify(docs, verify, k, percent, unique)
+    if starry:
+        links = checkpointed(links.union(_cluster_links(docs, clusters, links, k, percent, unique, block_rows, block_tokens)))
     comps = connected_components(links)
-    named = classes.join(comps, classes["first"] == comps["node"], "left").select("key", F.coalesce("component", "first").alias("component_id"))
+    named = classes.join(comps, classes["first"] == comps["node"], "left").select("key", "copies", F.coalesce("component", "first").alias("component"))
     out = found.join(named, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, **settings) -> DataFrame:
+    """``(id_col, n_shingles, component_id)`` of every document: see the module."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    found = linked_components(docs, k, percent, lambda table: lambda b: _prefix_rows(b, k, percent, *table.value), **settings)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
