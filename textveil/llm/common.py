@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -47,3 +47,27 @@ def pieces(lengths, most: int) -> Iterator[tuple[int, int]]:
         held += int(n)
     if begin < len(lengths):
         yield begin, len(lengths)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where the driver has it, if it is not installed there."""
+    import textveil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(textveil.__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a folder of this machine where the session names none, as in tests."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written as Parquet in the shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

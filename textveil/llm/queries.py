@@ -4,24 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textveil.llm.common import table
+from textveil.llm.common import importable, table
 from textveil.llm.jaccard_join import jaccard_components
+from textveil.llm.packing import pack_documents
+from textveil.llm.paragraph_dedup import repeated_passages
 from textveil.llm.quality_rules import score_repetition
+from textveil.llm.toxicity import fit_field, score_toxicity
+
+
+def op2_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     return score_repetition(table(spark, sf_dir, "documents"))
 
 
+def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_field(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sequence_packing": op2_sequence_packing,
     "op4_repetition_rules": op4_repetition_rules,
+    "op5_paragraph_minhash": op5_paragraph_minhash,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op10_toxic_spans": op10_toxic_spans,
 }
 
 ORACLES: dict[str, str] = {}
