@@ -124,22 +124,21 @@ def ordered_tokens(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarra
     return tokens[order], expected[order]
 
 
-def choose_matches(expected: np.ndarray, n: int, percent: int, most: int = 4, verify_cost: float = 0.5) -> tuple[int, int]:
+def choose_matches(expected: np.ndarray, n: int, percent: int, most: int = 7, verify_cost: float = 0.5, unlisted: float = 0.3, again: float = 0.3) -> tuple[int, int]:
     """How many shared tokens to demand, and the prefix length that this takes, at least estimated cost.
 
-    Indexing costs a unit for each posting met; at most ``postings / l`` pairs share l tokens, and
-    verifying one costs ``verify_cost`` for each token.
+    Indexing costs a unit for each token and each posting that it meets: those expected, and
+    ``unlisted`` for a token that the table of frequent shingles doesn't list. A document that shares
+    a token by chance shares one more with probability ``again``; verifying one that shares as many
+    as demanded costs ``verify_cost`` for each token of the set.
     """
     common = least_common(n, percent)
-    met = np.cumsum(expected)
-    best = None
-    for demand in range(1, min(most, max(common, 1)) + 1):
-        length = min(n, n - common + demand)
-        postings = met[length - 1]
-        cost = length + postings + verify_cost * n * postings / demand
-        if best is None or cost < best[0]:
-            best = (cost, demand, length)
-    return best[1], best[2]
+    met = np.cumsum(np.maximum(expected, unlisted))
+    demand = np.arange(1, min(most, max(common, 1)) + 1)
+    length = np.minimum(n, n - common + demand)
+    postings = met[length - 1]
+    best = int(np.argmin(length + postings + verify_cost * n * postings * again ** (demand - 1)))
+    return int(demand[best]), int(length[best])
 
 
 def _prefix_rows(batches, k: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:

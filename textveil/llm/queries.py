@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textveil.llm.bpe import digest_texts
+from textveil.llm.chat import format_conversations, read_back
 from textveil.llm.common import importable, table
 from textveil.llm.jaccard_join import jaccard_components
 from textveil.llm.packing import pack_documents
 from textveil.llm.paragraph_dedup import repeated_passages
 from textveil.llm.quality_rules import score_repetition
 from textveil.llm.toxicity import fit_field, score_toxicity
+from textveil.llm.url_filter import evaluate, host_of
 
 
 def op2_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +39,92 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return digest_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def list_events(captures: DataFrame) -> DataFrame:
+    """Dated events of a block and an allow list, drawn from digests of the captures' hosts and domains.
+
+    The tables hold no such lists. One in three hosts is blocked from a day of 2024 on, half of these
+    for 60 days, a quarter again after 120; one in two domains of two labels is blocked, one in seven
+    hosts is on the allow list.
+    """
+    hosts = captures.select(host_of(F.col("url")).alias("key")).where("key is not null").distinct()
+    domains = hosts.select(F.regexp_extract("key", r"([^.]+\.[^.]+)$", 1).alias("key")).where("key <> ''").distinct()
+    number = F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long")
+    first = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("number") % 200).cast("int"))
+
+    def events(keys: DataFrame, name: str, exact: bool, chosen: str, action: str, days: int) -> DataFrame:
+        return keys.withColumn("number", number).where(chosen).select(F.lit(name).alias("list"), "key", F.lit(exact).alias("exact"), F.lit(action).alias("action"), F.date_add(first, days).alias("effective_at"))
+
+    out = events(hosts, "block", True, "number % 3 = 0", "add", 0)
+    out = out.union(events(hosts, "block", True, "number % 3 = 0 and number % 2 = 0", "remove", 60))
+    out = out.union(events(hosts, "block", True, "number % 3 = 0 and number % 4 = 0", "add", 120))
+    out = out.union(events(domains, "block", False, "number % 2 = 0", "add", 30))
+    return out.union(events(hosts, "allow", True, "number % 7 = 0", "add", 10))
+
+
+def op8_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures; the table has no fetch time, so a day of 2024 follows from the page's number."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 365).cast("int")))
+    return evaluate(pages, list_events(pages))
+
+
+OP8_SQL = r"""
+WITH pages_at AS (
+  SELECT page_id, url, (DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER)) AS fetched_at,
+    nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host
+  FROM pages),
+hosts AS (SELECT DISTINCT host AS key FROM pages_at WHERE host IS NOT NULL),
+domains AS (SELECT DISTINCT regexp_extract(key, '([^.]+\.[^.]+)$', 1) AS key FROM hosts WHERE regexp_matches(key, '([^.]+\.[^.]+)$')),
+host_n AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS n FROM hosts),
+domain_n AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS n FROM domains),
+events AS (
+  SELECT 'block' AS list, key, true AS exact, 'add' AS action, DATE '2024-01-01' + CAST(n % 200 AS INTEGER) AS at FROM host_n WHERE n % 3 = 0
+  UNION ALL SELECT 'block', key, true, 'remove', DATE '2024-01-01' + CAST(n % 200 + 60 AS INTEGER) FROM host_n WHERE n % 3 = 0 AND n % 2 = 0
+  UNION ALL SELECT 'block', key, true, 'add', DATE '2024-01-01' + CAST(n % 200 + 120 AS INTEGER) FROM host_n WHERE n % 3 = 0 AND n % 4 = 0
+  UNION ALL SELECT 'block', key, false, 'add', DATE '2024-01-01' + CAST(n % 200 + 30 AS INTEGER) FROM domain_n WHERE n % 2 = 0
+  UNION ALL SELECT 'allow', key, true, 'add', DATE '2024-01-01' + CAST(n % 200 + 10 AS INTEGER) FROM host_n WHERE n % 7 = 0),
+latest AS (
+  SELECT p.page_id, e.list, e.key, e.exact, max(e.at) AS at
+  FROM pages_at p JOIN events e ON e.at <= p.fetched_at AND ((e.exact AND e.key = p.host) OR (NOT e.exact AND (p.host = e.key OR ends_with(p.host, '.' || e.key))))
+  GROUP BY ALL),
+active AS (SELECT a.* FROM latest a JOIN events e ON e.list = a.list AND e.key = a.key AND e.exact = a.exact AND e.at = a.at WHERE e.action = 'add'),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(key) DESC, exact DESC, (list = 'allow') DESC, at DESC) AS r FROM active)
+SELECT p.page_id, p.url, p.fetched_at, p.host, coalesce(b.list <> 'allow', false) AS blocked, b.list AS matched_list, b.key AS matched_key, b.at AS matched_since
+FROM pages_at p LEFT JOIN best b ON b.page_id = p.page_id AND b.r = 1
+"""
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold the template's own strings."""
+    importable(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.union(more)))
+
+
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+written AS (
+  SELECT *, 17 + length(role) + length(replace(replace(replace(replace(text, '', '\'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '</s>', '<\/s>')) AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text), 's?u(au)*a?') AS valid
+FROM written GROUP BY conv_id
+"""
+
+
 def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     docs = table(spark, sf_dir, "documents")
@@ -46,7 +136,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repetition_rules": op4_repetition_rules,
     "op5_paragraph_minhash": op5_paragraph_minhash,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_bpe_tree": op7_bpe_tree,
+    "op8_temporal_lists": op8_temporal_lists,
+    "op9_chat_format": op9_chat_format,
     "op10_toxic_spans": op10_toxic_spans,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_temporal_lists": OP8_SQL, "op9_chat_format": OP9_SQL}
