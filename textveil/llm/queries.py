@@ -14,16 +14,42 @@ from textveil.llm.common import importable, table
 from textveil.llm.jaccard_join import jaccard_components
 from textveil.llm.packing import pack_documents
 from textveil.llm.paragraph_dedup import repeated_passages
+from textveil.llm.quality_mil import fit_bags, score_quality
 from textveil.llm.quality_rules import score_repetition
+from textveil.llm.topk import top_k
 from textveil.llm.toxicity import fit_field, score_toxicity
 from textveil.llm.url_filter import evaluate, host_of
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op2_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_bags(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return score_repetition(table(spark, sf_dir, "documents"))
@@ -83,19 +109,19 @@ domains AS (SELECT DISTINCT regexp_extract(key, '([^.]+\.[^.]+)$', 1) AS key FRO
 host_n AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS n FROM hosts),
 domain_n AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS n FROM domains),
 events AS (
-  SELECT 'block' AS list, key, true AS exact, 'add' AS action, DATE '2024-01-01' + CAST(n % 200 AS INTEGER) AS at FROM host_n WHERE n % 3 = 0
+  SELECT 'block' AS list, key, true AS exact, 'add' AS action, DATE '2024-01-01' + CAST(n % 200 AS INTEGER) AS day FROM host_n WHERE n % 3 = 0
   UNION ALL SELECT 'block', key, true, 'remove', DATE '2024-01-01' + CAST(n % 200 + 60 AS INTEGER) FROM host_n WHERE n % 3 = 0 AND n % 2 = 0
   UNION ALL SELECT 'block', key, true, 'add', DATE '2024-01-01' + CAST(n % 200 + 120 AS INTEGER) FROM host_n WHERE n % 3 = 0 AND n % 4 = 0
   UNION ALL SELECT 'block', key, false, 'add', DATE '2024-01-01' + CAST(n % 200 + 30 AS INTEGER) FROM domain_n WHERE n % 2 = 0
   UNION ALL SELECT 'allow', key, true, 'add', DATE '2024-01-01' + CAST(n % 200 + 10 AS INTEGER) FROM host_n WHERE n % 7 = 0),
 latest AS (
-  SELECT p.page_id, e.list, e.key, e.exact, max(e.at) AS at
-  FROM pages_at p JOIN events e ON e.at <= p.fetched_at AND ((e.exact AND e.key = p.host) OR (NOT e.exact AND (p.host = e.key OR ends_with(p.host, '.' || e.key))))
+  SELECT p.page_id, e.list, e.key, e.exact, max(e.day) AS day
+  FROM pages_at p JOIN events e ON e.day <= p.fetched_at AND ((e.exact AND e.key = p.host) OR (NOT e.exact AND (p.host = e.key OR ends_with(p.host, '.' || e.key))))
   GROUP BY ALL),
-active AS (SELECT a.* FROM latest a JOIN events e ON e.list = a.list AND e.key = a.key AND e.exact = a.exact AND e.at = a.at WHERE e.action = 'add'),
+active AS (SELECT a.* FROM latest a JOIN events e ON e.list = a.list AND e.key = a.key AND e.exact = a.exact AND e.day = a.day WHERE e.action = 'add'),
 best AS (
-  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(key) DESC, exact DESC, (list = 'allow') DESC, at DESC) AS r FROM active)
-SELECT p.page_id, p.url, p.fetched_at, p.host, coalesce(b.list <> 'allow', false) AS blocked, b.list AS matched_list, b.key AS matched_key, b.at AS matched_since
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(key) DESC, exact DESC, (list = 'allow') DESC, day DESC) AS r FROM active)
+SELECT p.page_id, p.url, p.fetched_at, p.host, coalesce(b.list <> 'allow', false) AS blocked, b.list AS matched_list, b.key AS matched_key, b.day AS matched_since
 FROM pages_at p LEFT JOIN best b ON b.page_id = p.page_id AND b.r = 1
 """
 
@@ -132,7 +158,9 @@ def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
     "op2_sequence_packing": op2_sequence_packing,
+    "op3_quality_bags": op3_quality_bags,
     "op4_repetition_rules": op4_repetition_rules,
     "op5_paragraph_minhash": op5_paragraph_minhash,
     "op6_ngram_jaccard": op6_ngram_jaccard,
@@ -142,4 +170,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxic_spans": op10_toxic_spans,
 }
 
-ORACLES: dict[str, str] = {"op8_temporal_lists": OP8_SQL, "op9_chat_format": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op8_temporal_lists": OP8_SQL, "op9_chat_format": OP9_SQL}
