@@ -8,11 +8,15 @@ of least estimated cost (tokens to index, and pairs to verify), so a prefix that
 tokens is lengthened, and a pair is verified only if it shares as many prefix tokens as the smaller
 of both l demands.
 
-Documents with equal sets are one class and travel once. A token that more than ``group_most``
-classes share yields a star around its first class instead of all pairs; the classes that stars hold
-together are compared with the one among them that is in most groups, and then, those that this left
-apart, with all others, in blocks of bounded size whose tasks return spanning links alone. So no link between components is lost and no list of pairs grows
-with the square of a group.
+Documents with equal sets are one class and travel once. Prefix tokens that more than ``group_most``
+classes share yield no pairs; as a corpus grows, chance alone makes such tokens. Their classes are
+joined on partition keys instead: shingles are dealt by hash into more parts than two sets that link
+can differ in shingles, so some part is the same in both, and its content's hash is a key that
+unrelated texts don't share. A key that more than ``group_most`` classes share, a family of copies,
+yields a star around its first class instead of all pairs; the classes that stars hold together are
+compared with the one among them that is in most groups, and then, those that this left apart, with
+all others, in blocks of bounded size whose tasks return spanning links alone. So no link between
+components is lost and no list of pairs grows with the square of a group.
 
 Defined results: a text with fewer than k words is one shingle of all its words; a null text or one
 without words has no shingles, links with nothing and is its own component. Copies and repeated rows
@@ -159,11 +163,56 @@ def _prefix_rows(batches, k: int, percent: int, frequent: np.ndarray, counts: np
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(metas))], ["token", "key", "meta"])
 
 
+def partition_keys(shingles: np.ndarray, percent: int, spare: int = 4) -> list[np.ndarray]:
+    """Keys of a set's parts: sets that link have one in common.
+
+    Sizes fall into classes of ratio 100 / percent, so sizes of a link are in the same or in
+    neighbouring classes; a set is dealt out for its own class and for the next. Below a size of
+    ``top``, two sets that link differ in ``top * 2 * (1 - t) / (1 + t)`` shingles at most. Their parts
+    are ``spare`` more than that, so that as many are the same, and one of these isn't empty unless
+    the set has ``spare`` empty parts; only then empty parts are keys, too.
+    """
+    n = len(shingles)
+    own = int(np.floor(np.log(n) / -np.log(percent / 100) + 1e-9))
+    out = []
+    for level in (own, own + 1):
+        top = (100 / percent) ** (level + 1)
+        parts = int(top * 2 * (100 - percent) / (100 + percent) + 1e-6) + spare
+        part = mix(shingles + np.uint64(level)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        content = np.add.reduceat(mix(shingles[order] + np.uint64(0x5851F42D4C957F2D)), begin)
+        held = part[begin]
+        if parts - len(held) >= spare:
+            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), held)
+            held, content = np.concatenate([held, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
+        out.append(mix(content ^ mix(held + np.uint64(level << 32))))
+    return out
+
+
+def _partition_rows(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key of a part, class, size * 8 + 1) of every class; a task sends a class once."""
+    seen: set[int] = set()
+    for batch in batches:
+        tokens, keys, metas = [], [], []
+        for s in shingle_sets(batch.column(1), k):
+            if not len(s) or (key := class_key(s)) in seen:
+                continue
+            seen.add(key)
+            for part in partition_keys(s, percent):
+                tokens.append(part)
+                keys.append(np.full(len(part), key, np.int64))
+                metas.append(np.full(len(part), len(s) * 8 + 1, np.int64))
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(metas))], ["token", "key", "meta"])
+
+
 class _Pairs:
     """Turns a stream of rows sorted by token and class into pairs."""
 
-    def __init__(self, percent: int, group_most: int):
-        self.percent, self.group_most = percent, group_most
+    def __init__(self, percent: int, group_most: int, mark: bool):
+        self.percent, self.group_most, self.mark = percent, group_most, mark
         self.found: list[tuple[np.ndarray, ...]] = []
 
     def add(self, key1, meta1, key2, meta2, shared) -> None:
@@ -189,6 +238,11 @@ class _Pairs:
                     self.star(key[a], meta[a], key[a + 1 : a + s], meta[a + 1 : a + s])
 
     def star(self, key1, meta1, key2, meta2) -> None:
+        """Pairs of the group's first class with others; or, if classes of large groups are but marked, each with itself."""
+        if self.mark:
+            both, metas = np.append(key2, key1), np.append(meta2, meta1)
+            self.add(both, metas, both, metas, np.int64(STAR))
+            return
         self.add(np.full(len(key2), key1), np.full(len(key2), meta1), key2, meta2, np.int64(STAR))
 
     def flush(self) -> pa.RecordBatch | None:
@@ -202,9 +256,9 @@ class _Pairs:
         return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(need[new]), pa.array(np.add.reduceat(shared, new))], ["a", "b", "need", "shared"])
 
 
-def _pairs(batches, percent: int, group_most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes from rows sorted by token and class. A group over ``group_most`` streams through as a star."""
-    out = _Pairs(percent, group_most)
+def _pairs(batches, percent: int, group_most: int, mark: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes from rows sorted by token and class. A group over ``group_most`` streams through as a star or as marks."""
+    out = _Pairs(percent, group_most, mark)
     held = [np.zeros(0, np.int64)] * 3
     centre = None  # (token, class, meta) of a group that is streaming
     for batch in batches:
@@ -296,6 +350,12 @@ def _block_links(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ``ids(id)``; the list is broadcast up to a fixed size, else both sides are dealt by id."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int, unique: bool) -> DataFrame:
     """``(id, sets)`` of the documents whose id is in ``ids(id)``; sets are packed hashes. Without ``unique``, rows that repeat an id count once."""
 
@@ -303,8 +363,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, unique: bool) -> DataFrame
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], ["id", "sets"])
 
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    chosen = _chosen(docs, ids)
     if not unique:
         chosen = chosen.groupBy("id").agg(F.min("text").alias("text"))
     return chosen.mapInArrow(run, "id long, sets binary")
@@ -361,7 +420,7 @@ def _cluster_links(docs: DataFrame, clusters: DataFrame, links: DataFrame, k: in
 
 
 def linked_components(
-    docs: DataFrame, k: int, percent: int, candidates, count_frequent: bool = True, unique: bool = True,
+    docs: DataFrame, k: int, percent: int, candidates, count_frequent: bool = True, unique: bool = True, partition: bool = False,
     group_most: int = 12, block_rows: int = 512, block_tokens: int = 1 << 19,
 ) -> DataFrame:
     """``(id, n, component, copies)`` of every row of ``docs(id, text)``: its set's size, its component, and the rows of its class.
@@ -369,6 +428,7 @@ def linked_components(
     ``candidates(table)`` is given the broadcast table of frequent shingles and returns the function
     that makes rows (token, class, size * 8 + demand) of batches of ``docs``; classes that share as
     many tokens as they demand are compared. Without ``unique``, many rows may repeat an id and its text.
+    With ``partition``, classes of tokens that many share are compared if they share a partition key.
     """
     spark = docs.sparkSession
     found = checkpointed(docs.mapInArrow(lambda b: _classes_and_counts(b, k, count_frequent), "kind byte, id long, key long, n long"))
@@ -380,14 +440,21 @@ def linked_components(
     found = found.where("kind = 0").select("id", "key", "n")
     classes = found.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
 
-    tokens = docs.mapInArrow(candidates(table), "token long, key long, meta long")
-    sorted_rows = tokens.repartition("token").sortWithinPartitions("token", "key")
-    pairs = sorted_rows.mapInArrow(lambda b: _pairs(b, percent, group_most), "a long, b long, need long, shared long")
-    pairs = pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared")).where("shared >= need")
-    for side in ("a", "b"):
-        names = classes.select(F.col("key").alias(side), F.col("first").alias(f"{side}_id"), F.col("n").alias(f"n{side}"))
-        pairs = pairs.join(names, side)
-    pairs = checkpointed(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "na", "nb", F.floor(F.col("shared") / STAR).alias("tokens")))
+    def paired(tokens: DataFrame, mark: bool) -> DataFrame:
+        sorted_rows = tokens.repartition("token").sortWithinPartitions("token", "key")
+        pairs = sorted_rows.mapInArrow(lambda b: _pairs(b, percent, group_most, mark), "a long, b long, need long, shared long")
+        pairs = pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared")).where("shared >= need")
+        for side in ("a", "b"):
+            names = classes.select(F.col("key").alias(side), F.col("first").alias(f"{side}_id"), F.col("n").alias(f"n{side}"))
+            pairs = pairs.join(names, side)
+        return checkpointed(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "na", "nb", F.floor(F.col("shared") / STAR).alias("tokens")))
+
+    pairs = paired(docs.mapInArrow(candidates(table), "token long, key long, meta long"), partition)
+    if partition:
+        marked, pairs = checkpointed(pairs.where("a = b").select(F.col("a").alias("id"))), pairs.where("a <> b")
+        if not marked.isEmpty():
+            rows = _chosen(docs, marked).mapInArrow(lambda b: _partition_rows(b, k, percent), "token long, key long, meta long")
+            pairs = checkpointed(pairs.union(paired(rows, False)).groupBy("a", "b", "na", "nb").agg(F.max("tokens").alias("tokens")))
 
     fit = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("tokens") == 0)
     verify = pairs.where(fit).select("a", "b")
@@ -408,7 +475,7 @@ def linked_components(
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, **settings) -> DataFrame:
     """``(id_col, n_shingles, component_id)`` of every document: see the module."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    found = linked_components(docs, k, percent, lambda table: lambda b: _prefix_rows(b, k, percent, *table.value), **settings)
+    found = linked_components(docs, k, percent, lambda table: lambda b: _prefix_rows(b, k, percent, *table.value), partition=True, **settings)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
