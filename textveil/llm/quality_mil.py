@@ -201,7 +201,7 @@ def score_block(block: Block, model: BagModel) -> np.ndarray:
         return np.full(block.n, model.constant)
     x, bag = encode(block, model.settings)
     logit, _ = forward((x - model.mean) / model.spread, bag, model.layers)
-    return 1 / (1 + np.exp(-np.clip(model.calibration[0] * logit + model.calibration[1], -40, 40)))
+    return 1 / (1 + np.exp(-np.clip(model.calibration[0] * logit.astype(np.float64) + model.calibration[1], -40, 40)))
 
 
 def fit_bags(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: BagSettings | None = None) -> BagModel:
