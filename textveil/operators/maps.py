@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textveil.config import Config
@@ -20,6 +20,19 @@ def pseudonym_map(found: DataFrame, config: Config | None = None, *keys: str, ke
     return kept.select(*keys, F.col("value").alias("original")).distinct().withColumn("pseudonym", pseudonym(F.col("original"), config))
 
 
+def own_values(found: Column) -> Column:
+    """The distinct non-empty values of a row's detections: its map's originals."""
+    return F.array_distinct(F.filter(F.transform(found, lambda d: d["value"]), lambda v: v != ""))
+
+
+def own_reversed(originals: Column, pseudonyms: Column) -> Column:
+    """The map from pseudonyms to originals of one row; of originals that share a pseudonym the last one stays."""
+    n, backward = F.size(pseudonyms), F.reverse(pseudonyms)
+    entries = F.transform(originals, lambda o, i: F.struct(F.get(pseudonyms, i).alias("key"), o.alias("value"), i.alias("i")))
+    last = F.filter(entries, lambda e: F.array_position(backward, e["key"]) == n - e["i"])
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+
+
 def pseudonymize_values(values: DataFrame, column: str, config: Config | None = None) -> DataFrame:
     """``(original, pseudonym)`` of a column's distinct values, without null and empty ones."""
     return pseudonym_map(values.select(F.col(column).alias("value")), config)

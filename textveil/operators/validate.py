@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textveil.operators.detect import with_detections
-from textveil.operators.restore import residuals
+from textveil.operators.restore import pseudonyms_in, residuals
 
 # Statuses and messages of reports.
 PASS, FAIL = "PASS ✅", "FAIL ❌"
@@ -51,3 +51,25 @@ def validation_report(docs: DataFrame, rows: DataFrame, anonymized_col: str = "a
     joined = first.join(second, list(keys)).join(third, list(keys), "left").withColumn("pseudomap_validation", F.coalesce("pseudomap_validation", empty))
     every = F.col("anonymized_validation.passed") & F.col("denormalized_validation.passed") & F.col("pseudomap_validation.passed")
     return joined.withColumn("overall_status", F.when(every, F.lit(PASS)).otherwise(F.lit(FAIL)))
+
+
+def row_validation(found: DataFrame, anonymized_col: str, restored_col: str, pseudonyms_col: str) -> DataFrame:
+    """``found`` with the column ``validation`` for texts whose map is their own row's, so that nothing is joined.
+
+    ``pseudonyms_col`` holds the pseudonyms of the row's map, one for each original.
+    """
+    checked = with_detections(found, anonymized_col, "_again")
+    own, n = F.col(pseudonyms_col), F.size("_again")
+    words = F.filter(pseudonyms_in(F.col(restored_col)), lambda w: F.array_contains(own, w))
+    checked = checked.withColumn("_words", words).withColumn("_left", F.array_sort(F.array_distinct("_words")))
+    doubled = F.array_distinct(F.filter(own, lambda p: F.size(F.filter(own, lambda q: q == p)) > 1))
+    checked = checked.withColumn("_doubled", doubled)
+    names = F.array_join(F.transform("_left", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")
+    counts = F.map_from_entries(F.transform("_left", lambda x: F.struct(x.alias("pseudonym"), F.size(F.filter("_words", lambda w: w == x)).cast("long").alias("n"))))
+    first = F.struct((n == 0).alias("passed"), n.cast("long").alias("pii_detected"), F.col("_again").alias("detections"), F.when(n == 0, F.lit(CLEAN)).otherwise(F.concat(n.cast("string"), F.lit(LEFT))).alias("message"))
+    second = F.struct((F.size("_left") == 0).alias("passed"), counts.alias("remaining_pseudos"), F.when(F.size("_left") == 0, F.lit(RESTORED)).otherwise(F.concat(F.lit(RESIDUAL + "["), names, F.lit("]"))).alias("message"))
+    third = F.struct((F.size("_doubled") == 0).alias("passed"), F.array().cast("array<string>").alias("invalid_entries"), F.col("_doubled").alias("duplicate_pseudonyms"), F.when(F.size("_doubled") == 0, F.lit(MAP_RIGHT)).otherwise(F.lit(MAP_WRONG)).alias("message"))
+    every = (n == 0) & (F.size("_left") == 0) & (F.size("_doubled") == 0)
+    status = F.when(every, F.lit(PASS)).otherwise(F.lit(FAIL))
+    whole = F.struct(first.alias("anonymized_validation"), second.alias("denormalized_validation"), third.alias("pseudomap_validation"), status.alias("overall_status"))
+    return checked.withColumn("validation", whole).drop("_again", "_words", "_left", "_doubled")

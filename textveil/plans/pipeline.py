@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textveil.config import Config
-from textveil.functions.text import stripped
+from textveil.functions.text import pseudonym, stripped
 from textveil.operators.anonymize import anonymized
-from textveil.operators.detect import exploded, with_detections
-from textveil.operators.maps import pseudonym_map
-from textveil.operators.restore import restored
-from textveil.operators.validate import validation_report
+from textveil.operators.detect import with_detections
+from textveil.operators.maps import own_reversed, own_values
+from textveil.operators.restore import substituted
+from textveil.operators.validate import row_validation
 from textveil.plans.completion import Live, completed
 
 # Fixed value: the message of a report without detections.
@@ -25,36 +25,32 @@ def split_rejects(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, D
     return good, docs.where(text == "").withColumn("error", F.lit("Empty text input"))
 
 
-def workflow(docs: DataFrame, config: Config | None = None, live: Live | None = None, keys: tuple[str, ...] = ("run_id",), text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows up to the reply, and the pseudonym map: what a live run should store before it goes on."""
-    config = config or Config()
-    found = with_detections(docs.select(*keys, F.col(text_col).alias("text")))
-    hidden = found.withColumn("anonymized", anonymized(F.col("text"), F.col("detections"), "pseudonymize", config))
-    prompt = F.when(F.size("detections") > 0, F.concat(F.lit(config.prompt), F.col("anonymized")))
-    rows = pseudonym_map(exploded(found, "detections", *keys), config, *keys)
-    return completed(hidden, prompt, config, live), rows
-
-
 def analyze(docs: DataFrame, config: Config | None = None, live: Live | None = None, keys: tuple[str, ...] = ("run_id",), text_col: str = "text") -> DataFrame:
-    """A report for each row of ``docs(*keys, text)``; ``keys`` identify a row.
+    """A report for each row of ``docs(*keys, text)``: one pass over the rows, without a shuffle, as each row's map is its own.
 
     ``ok, *keys, message, error, detections, anonymized_text, llm_text, llm_denormalized, validation``.
     A text without detections is not sent anywhere and has no validation; a failed reply is an error
-    without texts.
+    without texts. ``maps_of`` gives the maps to store.
     """
     config = config or Config()
-    replied, rows = workflow(docs, config, live, keys, text_col)
-    replied = replied.withColumn("reply", F.when(F.col("completion.ok"), F.col("completion.text")))
-    whole = restored(replied, rows, "reply", "restored", keys, config.prefix)
-    sent = whole.where("completion.ok")
-    checks = validation_report(sent, rows, "anonymized", "restored", keys).select(
-        *keys, F.struct("anonymized_validation", "denormalized_validation", "pseudomap_validation", "overall_status").alias("validation")
-    )
-    failed = F.col("completion.ok") == F.lit(False)
-    joined = whole.join(checks, list(keys), "left")
-    return joined.select(
-        F.coalesce(~failed, F.lit(True)).alias("ok"), *keys,
-        F.when(F.col("completion").isNull(), F.lit(NOTHING)).alias("message"), F.when(failed, F.col("completion.text")).alias("error"),
-        F.when(F.coalesce(~failed, F.lit(True)), F.col("detections")).alias("detections"), F.when(F.coalesce(~failed, F.lit(True)), F.col("anonymized")).alias("anonymized_text"),
-        F.col("reply").alias("llm_text"), F.when(F.col("reply").isNotNull(), F.col("restored")).alias("llm_denormalized"), "validation",
+    found = with_detections(docs.select(*keys, F.col(text_col).alias("text")))
+    found = found.withColumn("originals", own_values(F.col("detections")))
+    found = found.withColumn("pseudonyms", F.transform("originals", lambda v: pseudonym(v, config)))
+    hidden = found.withColumn("anonymized", anonymized(F.col("text"), F.col("detections"), "pseudonymize", config))
+    prompt = F.when(F.size("detections") > 0, F.concat(F.lit(config.prompt), F.col("anonymized")))
+    replied = completed(hidden, prompt, config, live).withColumn("reply", F.when(F.col("completion.ok"), F.col("completion.text")))
+    back = F.when(F.contains("reply", F.lit(f"{config.prefix}_")), substituted(F.col("reply"), own_reversed(F.col("originals"), F.col("pseudonyms")))).otherwise(F.col("reply"))
+    checked = row_validation(replied.withColumn("restored", back), "anonymized", "restored", "pseudonyms")
+    failed = F.coalesce(~F.col("completion.ok"), F.lit(False))
+    return checked.select(
+        (~failed).alias("ok"), *keys, F.when(F.col("completion").isNull(), F.lit(NOTHING)).alias("message"), F.when(failed, F.col("completion.text")).alias("error"),
+        F.when(~failed, F.col("detections")).alias("detections"), F.when(~failed, F.col("anonymized")).alias("anonymized_text"),
+        F.col("reply").alias("llm_text"), F.col("restored").alias("llm_denormalized"), F.when(F.col("reply").isNotNull(), F.col("validation")).alias("validation"),
     )
+
+
+def maps_of(docs: DataFrame, config: Config | None = None, keys: tuple[str, ...] = ("run_id",), text_col: str = "text") -> DataFrame:
+    """``(*keys, original, pseudonym)`` of texts, to be stored apart from reports."""
+    found = with_detections(docs.select(*keys, F.col(text_col).alias("text")))
+    rows = found.select(*keys, F.explode(own_values(F.col("detections"))).alias("original"))
+    return rows.withColumn("pseudonym", pseudonym(F.col("original"), config or Config()))

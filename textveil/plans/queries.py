@@ -17,7 +17,7 @@ from textveil.operators.maps import pseudonym_map, pseudonymize_values
 from textveil.operators.restore import residuals, restored, unrestorable
 from textveil.operators.validate import validate_anonymized, validate_denormalized, validate_map, validation_report
 from textveil.plans.completion import mocked
-from textveil.plans.pipeline import analyze
+from textveil.plans.pipeline import analyze, maps_of
 from textveil.sources.files import extracted, flatten_json, packet_rows
 from textveil.sources.reports import listing, status_summary
 
@@ -121,7 +121,7 @@ def anonymize_batch_names(spark, sf_dir):
 
 
 def doc_maps(spark, sf_dir):
-    return pseudonym_map(exploded(detected(spark, sf_dir), "detections", "doc_id"), CONFIG, "doc_id")
+    return maps_of(documents(spark, sf_dir), CONFIG, ("doc_id",))
 
 
 def map_of_run(spark, sf_dir):
