@@ -163,35 +163,38 @@ def _prefix_rows(batches, k: int, percent: int, frequent: np.ndarray, counts: np
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(metas))], ["token", "key", "meta"])
 
 
-def partition_keys(shingles: np.ndarray, percent: int, spare: int = 4) -> list[np.ndarray]:
+def partition_keys(shingles: np.ndarray, percent: int, frequent: np.ndarray) -> list[np.ndarray]:
     """Keys of a set's parts: sets that link have one in common.
 
     Sizes fall into classes of ratio 100 / percent, so sizes of a link are in the same or in
     neighbouring classes; a set is dealt out for its own class and for the next. Below a size of
-    ``top``, two sets that link differ in ``top * 2 * (1 - t) / (1 + t)`` shingles at most. Their parts
-    are ``spare`` more than that, so that as many are the same, and one of these isn't empty unless
-    the set has ``spare`` empty parts; only then empty parts are keys, too.
+    ``top``, two sets that link differ in d = ``top * 2 * (1 - t) / (1 + t)`` shingles at most. With
+    d + s parts, s are the same in both, so by the prefix rule one of these is among the first d + 1
+    of either set in any order that goes by a part's content. Parts come in the order of how many
+    shingles they hold that the table doesn't list as frequent, then of how many they hold; so those
+    that chance or a common passage makes alike are left out.
     """
     n = len(shingles)
     own = int(np.floor(np.log(n) / -np.log(percent / 100) + 1e-9))
+    rare = np.ones(n, dtype=np.int64)
+    if len(frequent):
+        rare[frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles] = 0
     out = []
     for level in (own, own + 1):
-        top = (100 / percent) ** (level + 1)
-        parts = int(top * 2 * (100 - percent) / (100 + percent) + 1e-6) + spare
-        part = mix(shingles + np.uint64(level)) % np.uint64(parts)
+        differ = int((100 / percent) ** (level + 1) * 2 * (100 - percent) / (100 + percent) + 1e-6)
+        parts = differ + max(4, differ // 3)
+        part = (mix(shingles + np.uint64(level)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        part = part[order]
-        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        content = np.add.reduceat(mix(shingles[order] + np.uint64(0x5851F42D4C957F2D)), begin)
-        held = part[begin]
-        if parts - len(held) >= spare:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), held)
-            held, content = np.concatenate([held, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
-        out.append(mix(content ^ mix(held + np.uint64(level << 32))))
+        held, begin = np.unique(part[order], return_index=True)
+        content = np.zeros(parts, dtype=np.uint64)
+        content[held] = np.add.reduceat(mix(shingles[order] + np.uint64(0x5851F42D4C957F2D)), begin)
+        key = mix(content ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64(level << 32)))
+        rank = np.lexsort((key, -np.bincount(part, minlength=parts), -np.bincount(part, weights=rare, minlength=parts)))
+        out.append(key[rank[: differ + 1]])
     return out
 
 
-def _partition_rows(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _partition_rows(batches, k: int, percent: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (key of a part, class, size * 8 + 1) of every class; a task sends a class once."""
     seen: set[int] = set()
     for batch in batches:
@@ -200,7 +203,7 @@ def _partition_rows(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
             if not len(s) or (key := class_key(s)) in seen:
                 continue
             seen.add(key)
-            for part in partition_keys(s, percent):
+            for part in partition_keys(s, percent, frequent):
                 tokens.append(part)
                 keys.append(np.full(len(part), key, np.int64))
                 metas.append(np.full(len(part), len(s) * 8 + 1, np.int64))
@@ -453,7 +456,7 @@ def linked_components(
     if partition:
         marked, pairs = checkpointed(pairs.where("a = b").select(F.col("a").alias("id"))), pairs.where("a <> b")
         if not marked.isEmpty():
-            rows = _chosen(docs, marked).mapInArrow(lambda b: _partition_rows(b, k, percent), "token long, key long, meta long")
+            rows = _chosen(docs, marked).mapInArrow(lambda b: _partition_rows(b, k, percent, table.value[0]), "token long, key long, meta long")
             pairs = checkpointed(pairs.union(paired(rows, False)).groupBy("a", "b", "na", "nb").agg(F.max("tokens").alias("tokens")))
 
     fit = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("tokens") == 0)
