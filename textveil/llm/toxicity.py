@@ -37,8 +37,8 @@ _STOP[list(b".!?\n")] = True
 
 @dataclass(frozen=True)
 class FieldSettings:
-    toxic_docs: int = 1500
-    clean_docs: int = 3000
+    toxic_docs: int = 900
+    clean_docs: int = 1800
     max_chars: int = 32768
     bits: int = 18
     longest: int = 128
@@ -125,9 +125,9 @@ def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _bound(values: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Values whose documents are toxic far more often than others are, by a likelihood-ratio test."""
-    pairs = np.unique(np.stack([values, owner.astype(np.uint64)], axis=1), axis=0)
-    value, at = np.unique(pairs[:, 0], return_inverse=True)
-    bad = np.bincount(at, weights=toxic[pairs[:, 1].astype(np.int64)], minlength=len(value))
+    once = np.unique(mix(values ^ mix(owner.astype(np.uint64))), return_index=True)[1]
+    value, at = np.unique(values[once], return_inverse=True)
+    bad = np.bincount(at, weights=toxic[owner[once]], minlength=len(value))
     good = np.bincount(at, minlength=len(value)) - bad
     n1, n0 = max(toxic.sum(), 1), max(len(toxic) - toxic.sum(), 1)
     rate = (bad + good) / (n1 + n0)
@@ -138,7 +138,7 @@ def _bound(values: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarr
 
     ratio = 2 * (likely(bad, n1, bad / n1) + likely(good, n0, good / n0) - likely(bad, n1, rate) - likely(good, n0, rate))
     odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((good + 0.5) / (n0 + 1))
-    return value[(odds > 2.5) & (ratio > min(16.0, 4.0 + 0.05 * n1)) & (bad >= 3)]
+    return value[(odds > 2.5) & (ratio > 18.0) & (bad >= 3)]
 
 
 def _fit_document(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
