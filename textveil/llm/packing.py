@@ -110,11 +110,10 @@ def windows_of(positions: np.ndarray, penalties: np.ndarray, capacity: int, leas
             queue.popleft()
         i = queue[0]
         cost = best[i] + p[i] + capacity - at
-        if cost > best[i] + 1:  # some padding is left
-            for n in powers:
-                h = index.get(at - n)
-                if h is not None and best[h] + 1 < cost:
-                    cost, i = best[h] + 1, h
+        for n in powers:
+            h = index.get(at - n)
+            if h is not None and best[h] + 1 < cost:
+                cost, i = best[h] + 1, h
         best[j], back[j] = cost + q[j], i
         low = best[j] + at
         while queue and best[queue[-1]] + p[queue[-1]] >= low:

@@ -102,7 +102,9 @@ class Search:
             qa, found, score = qa[fit], ids[ca[fit]], score[fit].astype(np.int64)
             order = np.lexsort((found, -score, qa))
             qa, found, score = qa[order], found[order], score[order]
-            begin = np.flatnonzero(np.concatenate([[True], qa[1:] != qa[:-1]])) if len(qa) else []
+            if not len(qa):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], qa[1:] != qa[:-1]]))
             for b, e in zip(begin, [*begin[1:], len(qa)], strict=True):
                 e = min(e, b + self.k)
                 i = int(qa[b])
