@@ -15,7 +15,7 @@ from textveil.llm.jaccard_join import jaccard_components
 from textveil.llm.packing import pack_documents
 from textveil.llm.paragraph_dedup import repeated_passages
 from textveil.llm.quality_mil import fit_bags, score_quality
-from textveil.llm.quality_rules import score_repetition
+from textveil.llm.quality_rules import RepetitionRules, score_repetition
 from textveil.llm.topk import top_k
 from textveil.llm.toxicity import fit_field, score_toxicity
 from textveil.llm.url_filter import evaluate, host_of
@@ -55,6 +55,37 @@ def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_repetition(table(spark, sf_dir, "documents"))
 
 
+def _covered(k: int) -> str:
+    """SQL: whether a word lies in a k-gram that its text holds twice or more."""
+    return f"""SELECT doc_id, i, w, max(CASE WHEN full_size AND n > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) = 1 AS inside FROM (
+      SELECT *, count(*) OVER (PARTITION BY doc_id, g, full_size) AS n FROM (
+        SELECT doc_id, i, w, string_agg(w, ' ') OVER win AS g, count(*) OVER win = {k} AS full_size FROM words
+        WINDOW win AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)))"""
+
+
+_RULES = RepetitionRules()
+OP4_SQL = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM docs)),
+counted AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars FROM words GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars, row_number() OVER (PARTITION BY doc_id, line) > 1 AS again
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup_lines AS (SELECT doc_id, count(*) FILTER (WHERE again) AS n_dup_lines, CAST(coalesce(sum(chars) FILTER (WHERE again), 0) AS BIGINT) AS dup_line_chars FROM lines GROUP BY doc_id),
+repeats AS (SELECT doc_id, count(*) FILTER (WHERE inside) AS n_repeat_words FROM ({_covered(_RULES.repeat_window)}) GROUP BY doc_id),
+shares AS (
+  SELECT doc_id, max(part) AS ngram_share, bool_or(part > most) AS worst FROM (
+    {" UNION ALL ".join(f"SELECT doc_id, CAST(coalesce(sum(length(w)) FILTER (WHERE inside), 0) AS DOUBLE) / sum(length(w)) AS part, CAST({m} AS DOUBLE) AS most FROM ({_covered(k)}) GROUP BY doc_id" for k, m in sorted(_RULES.ngram_limits.items()))}) GROUP BY doc_id),
+joined AS (
+  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars, coalesce(ngram_share, 0.0) AS ngram_share, coalesce(worst, false) AS worst
+  FROM docs d LEFT JOIN counted c ON c.doc_id = d.doc_id LEFT JOIN dup_lines l ON l.doc_id = d.doc_id LEFT JOIN repeats r ON r.doc_id = d.doc_id LEFT JOIN shares s ON s.doc_id = d.doc_id),
+judged AS (SELECT *, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words AS base_failed FROM joined)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dup_line_chars, ngram_share, base_failed,
+  NOT base_failed AND NOT worst AND CAST(dup_line_chars AS DOUBLE) / greatest(word_chars, 1) <= CAST({_RULES.max_line_share} AS DOUBLE) AS kept FROM judged
+"""
+
+
 def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return repeated_passages(table(spark, sf_dir, "documents"))
@@ -65,6 +96,21 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+ways AS (SELECT x AS one, y AS other FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, ways.other FROM reach JOIN ways ON ways.one = reach.r)
+SELECT reach.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id
+"""
+
+
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return digest_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -170,4 +216,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxic_spans": op10_toxic_spans,
 }
 
-ORACLES: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op8_temporal_lists": OP8_SQL, "op9_chat_format": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op4_repetition_rules": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_temporal_lists": OP8_SQL, "op9_chat_format": OP9_SQL}
