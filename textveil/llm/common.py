@@ -26,6 +26,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer tasks than there are cores, dealt out by a key; any larger one as it is, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
+
+
 def nulls_to_empty(column):
     """The values of an Arrow string column as one array of strings without nulls."""
     import pyarrow as pa
@@ -50,7 +56,11 @@ def pieces(lengths, most: int) -> Iterator[tuple[int, int]]:
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where the driver has it, if it is not installed there."""
+    """Let Python workers find this package where the driver has it, if it is not installed there.
+
+    Rows of whole texts are large: a batch of a thousand bounds what a worker and its executor hold.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     import textveil
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(textveil.__file__)))

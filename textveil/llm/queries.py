@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textveil.llm.bpe import digest_texts
 from textveil.llm.chat import format_conversations, read_back
-from textveil.llm.common import importable, table
+from textveil.llm.common import importable, spread, table
 from textveil.llm.jaccard_join import jaccard_components
 from textveil.llm.packing import pack_documents
 from textveil.llm.paragraph_dedup import repeated_passages
@@ -21,6 +21,10 @@ from textveil.llm.toxicity import fit_field, score_toxicity
 from textveil.llm.url_filter import evaluate, host_of
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     vectors = table(spark, sf_dir, "embeddings")
@@ -46,13 +50,13 @@ def op2_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return score_quality(docs, fit_bags(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
-    return score_repetition(table(spark, sf_dir, "documents"))
+    return score_repetition(documents(spark, sf_dir))
 
 
 def _covered(k: int) -> str:
@@ -88,12 +92,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dup_
 
 def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(documents(spark, sf_dir))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
-    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return jaccard_components(documents(spark, sf_dir), k=3, percent=90)
 
 
 OP6_SQL = r"""
@@ -113,7 +117,7 @@ SELECT reach.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r) AS component_id
 
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
-    return digest_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return digest_texts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def list_events(captures: DataFrame) -> DataFrame:
@@ -199,7 +203,7 @@ FROM written GROUP BY conv_id
 
 def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return score_toxicity(docs, fit_field(docs, table(spark, sf_dir, "labels")))
 
 

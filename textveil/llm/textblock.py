@@ -1,6 +1,6 @@
 """Words and hashes of many texts at once, in numpy over the bytes of an Arrow string column.
 
-A block is a run of whole texts, of about two megabytes. All positions are byte positions in the
+A block is a run of whole texts, of about one megabyte. All positions are byte positions in the
 block; ``Block.points`` turns them into code points.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 
 from textveil.llm.common import nulls_to_empty, pieces
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
