@@ -58,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline over the table ``documents``; what each stage returns is a table in the shared folder."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.spread(common.table(spark, sf_dir, "documents"), "doc_id")
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from textveil.config import Config
 from textveil.operators.maps import load_map, pseudonym_map, save_map
-from textveil.operators.restore import residuals, restored, unrestorable
+from textveil.operators.restore import residuals, restored, restored_by_run, unrestorable
 from textveil.operators.validate import validate_denormalized, validate_map, validation_report
 from textveil.plans.completion import Live
 from textveil.plans.pipeline import analyze, maps_of, split_rejects
@@ -46,6 +47,11 @@ def test_maps_are_stored_by_run(spark, tmp_path):
     save_map(rows(spark, ("r2", "z", "PSEUDO_1")), str(tmp_path / "maps"))
     assert load_map(spark, str(tmp_path / "maps"), "r1").count() == 2
     assert load_map(spark, str(tmp_path / "maps"), "absent").count() == 0
+    replies = spark.createDataFrame([(f"to {A}",), (f"{A}{B}",), (None,)], "text string")
+    assert sorted(r.restored for r in restored_by_run(replies, str(tmp_path / "maps"), "r1").collect()) == ["", f"{A}{B}", "to alice@example.com"]
+    assert sorted(r.restored for r in restored_by_run(replies, str(tmp_path / "maps"), "absent").collect()) == ["", f"{A}{B}", f"to {A}"]
+    with pytest.raises(ValueError):
+        restored_by_run(replies, str(tmp_path / "maps"), "")
 
 
 def test_map_of_values(spark):

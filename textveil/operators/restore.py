@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textveil.operators.maps import load_map
+
 #: Maximal runs of word characters: a pseudonym counts where it is a whole run.
 _WORD = r"(?U)\w+"
 
@@ -57,3 +59,18 @@ def unrestorable(text: Column) -> Column:
     """Pseudonyms that touch a word character, so that neither restoring nor the residual check sees them."""
     loose = F.regexp_count(text, F.lit(r"PSEUDO_[0-9a-fA-F]{12}"))
     return loose - F.regexp_count(text, F.lit(r"(?U)(?<!\w)PSEUDO_[0-9a-fA-F]{12}(?!\w)"))
+
+
+def restored_by_run(replies: DataFrame, maps_path: str, run_id: str, text_col: str = "text", out_col: str = "restored") -> DataFrame:
+    """``replies`` of one run restored by its stored map; without a map they stay as they are, and an empty run id is an error."""
+    if not run_id:
+        raise ValueError("run_id is empty")
+    rows = load_map(replies.sparkSession, maps_path, run_id)
+    last = reversed_map(rows, "run_id")
+    # One run's map is as large as its texts' detections are many: it is joined, not collected.
+    keyed = replies.withColumn("_reply", F.monotonically_increasing_id())
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    held = keyed.select("_reply", F.explode(F.array_distinct(pseudonyms_in(text))).alias("pseudonym"))
+    found = held.join(last.select("pseudonym", "original"), "pseudonym").groupBy("_reply").agg(F.map_from_entries(F.collect_list(F.struct("pseudonym", "original"))).alias("_originals"))
+    joined = keyed.join(found, "_reply", "left")
+    return joined.withColumn(out_col, F.when(F.col("_originals").isNull(), text).otherwise(substituted(text, F.col("_originals")))).drop("_originals", "_reply")

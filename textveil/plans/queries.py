@@ -33,8 +33,11 @@ SAMPLES = {
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, text)``: the table and the samples. One row group is one task's work, so small tables are dealt out for the costly patterns."""
+    """``(doc_id, text)``: the table and the samples. A row group is one task's work, so a table of fewer tasks than cores is dealt out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores, "doc_id")
     return docs.union(spark.createDataFrame(list(SAMPLES.items()), "doc_id long, text string"))
 
 
