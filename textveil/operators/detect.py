@@ -20,7 +20,8 @@ def spans(text: Column, pattern: str) -> Column:
     """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int,end:int>>").alias("out"))
-    pairs = F.transform(found, lambda v, i: F.struct(v.alias("v"), F.length(F.get(gaps, i)).alias("gap")))
+    # Zipped, as a lambda that named the gaps would split the text for each match; the last gap has no match.
+    pairs = F.filter(F.zip_with(found, gaps, lambda v, g: F.struct(v.alias("v"), F.length(g).alias("gap"))), lambda p: p["v"].isNotNull())
 
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + pair["gap"]
@@ -97,4 +98,13 @@ def with_detections(docs: DataFrame, text_col: str = "text", out_col: str = "det
 
 def exploded(docs: DataFrame, found: str = "detections", *keys: str) -> DataFrame:
     """A row for each detection: keys, and the detection's fields."""
-    return docs.select(*keys, F.explode(found).alias("d")).select(*keys, "d.*")
+    return each(docs, F.col(found), "d", *keys).select(*keys, "d.*")
+
+
+def each(rows: DataFrame, items: Column, name: str, *keys: str) -> DataFrame:
+    """``(*keys, name)``, a row for each item of an array that isn't null.
+
+    A plain ``explode`` has Spark infer a filter on the array's size and push it below, which evaluates a
+    costly array once more for every place that names it; the outer form keeps to one evaluation.
+    """
+    return rows.select(*keys, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())

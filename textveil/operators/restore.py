@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textveil.operators.detect import each
 from textveil.operators.maps import load_map
 
 #: Maximal runs of word characters: a pseudonym counts where it is a whole run.
@@ -24,14 +25,15 @@ def reversed_map(rows: DataFrame, *keys: str) -> DataFrame:
 
 def pseudonyms_in(text: Column, prefix: str = "PSEUDO") -> Column:
     """Whole words of a text that begin like a pseudonym."""
-    return F.filter(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.startswith(w, F.lit(f"{prefix}_")))
+    words = F.regexp_extract_all(text, F.lit(rf"(?U)(?<!\w)\Q{prefix}_\E\w*"), F.lit(0))
+    return F.when(F.contains(text, F.lit(f"{prefix}_")), words).otherwise(F.array().cast("array<string>"))
 
 
 def substituted(text: Column, originals: Column) -> Column:
     """The text with each whole word that ``originals`` (a map) has as a key replaced by its value."""
     words, gaps = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.split(text, _WORD, -1)
-    written = F.transform(words, lambda w, i: F.concat(F.get(gaps, i), F.coalesce(F.try_element_at(originals, w), w)))
-    return F.concat(F.array_join(written, ""), F.coalesce(F.element_at(gaps, -1), F.lit("")))
+    # There is a gap more than words: the last one stands alone.
+    return F.array_join(F.zip_with(gaps, words, lambda g, w: F.concat(g, F.coalesce(F.try_element_at(originals, w), w, F.lit("")))), "")
 
 
 def restored(replies: DataFrame, rows: DataFrame, text_col: str = "text", out_col: str = "restored", keys: tuple[str, ...] = ("run_id",), prefix: str = "PSEUDO") -> DataFrame:
@@ -41,7 +43,7 @@ def restored(replies: DataFrame, rows: DataFrame, text_col: str = "text", out_co
     its reply unchanged, and null is empty. ``replies`` has one row for each of ``keys``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    held = replies.select(*keys, F.explode(F.array_distinct(pseudonyms_in(text, prefix))).alias("pseudonym"))
+    held = each(replies, F.array_distinct(pseudonyms_in(text, prefix)), "pseudonym", *keys)
     met = held.join(reversed_map(rows, *keys), [*keys, "pseudonym"])
     found = met.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pseudonym", "original"))).alias("_originals"))
     joined = replies.join(found, list(keys), "left")
@@ -51,7 +53,7 @@ def restored(replies: DataFrame, rows: DataFrame, text_col: str = "text", out_co
 def residuals(replies: DataFrame, rows: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("run_id",), prefix: str = "PSEUDO") -> DataFrame:
     """``(*keys, pseudonym, n)``: how often each pseudonym of the key's map stands in the reply as a whole word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    held = replies.select(*keys, F.explode(pseudonyms_in(text, prefix)).alias("pseudonym")).groupBy(*keys, "pseudonym").agg(F.count("*").alias("n"))
+    held = each(replies, pseudonyms_in(text, prefix), "pseudonym", *keys).groupBy(*keys, "pseudonym").agg(F.count("*").alias("n"))
     return held.join(rows.where("pseudonym <> ''").select(*keys, "pseudonym").distinct(), [*keys, "pseudonym"])
 
 
@@ -70,7 +72,7 @@ def restored_by_run(replies: DataFrame, maps_path: str, run_id: str, text_col: s
     # One run's map is as large as its texts' detections are many: it is joined, not collected.
     keyed = replies.withColumn("_reply", F.monotonically_increasing_id())
     text = F.coalesce(F.col(text_col), F.lit(""))
-    held = keyed.select("_reply", F.explode(F.array_distinct(pseudonyms_in(text))).alias("pseudonym"))
+    held = each(keyed, F.array_distinct(pseudonyms_in(text)), "pseudonym", "_reply")
     found = held.join(last.select("pseudonym", "original"), "pseudonym").groupBy("_reply").agg(F.map_from_entries(F.collect_list(F.struct("pseudonym", "original"))).alias("_originals"))
     joined = keyed.join(found, "_reply", "left")
     return joined.withColumn(out_col, F.when(F.col("_originals").isNull(), text).otherwise(substituted(text, F.col("_originals")))).drop("_originals", "_reply")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textveil.config import Config
 from textveil.functions.text import pseudonym, stripped
 from textveil.operators.anonymize import anonymized
-from textveil.operators.detect import with_detections
+from textveil.operators.detect import each, with_detections
 from textveil.operators.maps import own_reversed, own_values
 from textveil.operators.restore import substituted
 from textveil.operators.validate import row_validation
@@ -52,5 +52,5 @@ def analyze(docs: DataFrame, config: Config | None = None, live: Live | None = N
 def maps_of(docs: DataFrame, config: Config | None = None, keys: tuple[str, ...] = ("run_id",), text_col: str = "text") -> DataFrame:
     """``(*keys, original, pseudonym)`` of texts, to be stored apart from reports."""
     found = with_detections(docs.select(*keys, F.col(text_col).alias("text")))
-    rows = found.select(*keys, F.explode(own_values(F.col("detections"))).alias("original"))
+    rows = each(found, own_values(F.col("detections")), "original", *keys)
     return rows.withColumn("pseudonym", pseudonym(F.col("original"), config or Config()))

@@ -12,7 +12,7 @@ from textveil.config import Config
 from textveil.functions.patterns import DETECTORS, PSEUDONYM
 from textveil.functions.text import card_score, mask, normalize, pseudonym, redact_for_log, run_id
 from textveil.operators.anonymize import anonymize_batch, anonymized
-from textveil.operators.detect import candidates, exploded, matches, resolve, spans, with_detections
+from textveil.operators.detect import candidates, each, exploded, matches, resolve, spans, with_detections
 from textveil.operators.maps import pseudonym_map, pseudonymize_values
 from textveil.operators.restore import residuals, restored, unrestorable
 from textveil.operators.validate import validate_anonymized, validate_denormalized, validate_map, validation_report
@@ -72,7 +72,7 @@ def detect_one(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def pseudonym_spans(spark, sf_dir):
-    found = documents(spark, sf_dir).where(F.contains("text", F.lit("PSEUDO_"))).select("doc_id", F.explode(spans(F.col("text"), PSEUDONYM)).alias("m"))
+    found = each(documents(spark, sf_dir).where(F.contains("text", F.lit("PSEUDO_"))), spans(F.col("text"), PSEUDONYM), "m", "doc_id")
     return found.select("doc_id", "m.value", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"))
 
 
