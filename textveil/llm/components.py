@@ -12,22 +12,29 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+#: Rows of a link table that one task takes.
+TASK_ROWS = 250_000
+
+
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, component)`` of every node of ``links(a, b)``; the component is its smallest node.
 
     Each round points every neighbour of a node at the smallest of them, as joins on the node with
     minima that are pre-aggregated, so that a hub is a skewed join and never one task's list. Links
-    that are loops, repeated or hold a null change nothing; no links give no rows.
+    that are loops, repeated or hold a null change nothing; no links give no rows. The tables shrink as
+    rounds go on, and so do the tasks: there is one for ``TASK_ROWS`` rows, or for each core.
     """
+    cores = links.sparkSession.sparkContext.defaultParallelism
     edges = checkpointed(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
     for _ in range(most_rounds):
+        tasks = max(cores, -(-state[0] // TASK_ROWS))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(least.select("a", F.col("m").alias("b")).union(small).distinct())
+        edges = checkpointed(least.select("a", F.col("m").alias("b")).union(small).distinct().coalesce(tasks))
         now = _state(edges)
         if now == state:
             break
