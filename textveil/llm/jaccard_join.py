@@ -61,10 +61,21 @@ def shingle_sets(column, k: int) -> Iterator[np.ndarray]:
                 yield np.unique(value[cut[d] : cut[d + 1]])
 
 
-def class_key(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    total = (int(np.sum(mix(shingles + np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)) + len(shingles) * 0xD1342543DE82EF95) % (1 << 64)
-    return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
+def class_keys(sets: list[np.ndarray]) -> list[int]:
+    """64-bit names of sets: equal sets have one name."""
+    size = np.array([len(s) for s in sets], dtype=np.uint64)
+    total = np.zeros(len(sets), dtype=np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        flat = np.concatenate([sets[i] for i in full])
+        begin = np.cumsum(size[full]).astype(np.int64) - size[full].astype(np.int64)
+        total[full] = np.add.reduceat(mix(flat + np.uint64(0x2545F4914F6CDD1D)), begin)
+    return mix(total + size * np.uint64(0xD1342543DE82EF95)).view(np.int64).tolist()
+
+
+def meta_of(size, place, demand):
+    """A set's size, a token's place in its order (up to 2**24), and the shared tokens that it demands (up to 7), as one number."""
+    return (size << 27) | (place << 3) | demand
 
 
 def least_common(n, percent: int):
@@ -87,12 +98,11 @@ def _classes_and_counts(batches, k: int, count_frequent: bool) -> Iterator[pa.Re
             held.clear()
 
     for batch in batches:
-        keys, sizes = [], []
-        for s in shingle_sets(batch.column(1), k):
-            keys.append(class_key(s))
-            sizes.append(len(s))
-            if count_frequent and keys[-1] not in seen:
-                seen.add(keys[-1])
+        sets = [*shingle_sets(batch.column(1), k)]
+        keys, sizes = class_keys(sets), [len(s) for s in sets]
+        for key, s in zip(keys, sets, strict=True):
+            if count_frequent and key not in seen:
+                seen.add(key)
                 held.append(s)
                 room += len(s)
             if room > 1 << 21:
@@ -146,19 +156,20 @@ def choose_matches(expected: np.ndarray, n: int, percent: int, most: int = 7, ve
 
 
 def _prefix_rows(batches, k: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (token, class, size * 8 + demand) of every class's prefix; a task sends a class once."""
+    """Rows (token, class, size and place and demand) of every class's prefix; a task sends a class once."""
     seen: set[int] = set()
     for batch in batches:
         tokens, keys, metas = [], [], []
-        for s in shingle_sets(batch.column(1), k):
-            if not len(s) or (key := class_key(s)) in seen:
+        sets = [*shingle_sets(batch.column(1), k)]
+        for key, s in zip(class_keys(sets), sets, strict=True):
+            if not len(s) or key in seen:
                 continue
             seen.add(key)
             ordered, expected = ordered_tokens(s, frequent, counts)
             demand, length = choose_matches(expected, len(s), percent)
             tokens.append(ordered[:length])
             keys.append(np.full(length, key, np.int64))
-            metas.append(np.full(length, len(s) * 8 + demand, np.int64))
+            metas.append(meta_of(len(s), np.arange(length), demand))
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(metas))], ["token", "key", "meta"])
 
@@ -195,18 +206,19 @@ def partition_keys(shingles: np.ndarray, percent: int, frequent: np.ndarray) ->
 
 
 def _partition_rows(batches, k: int, percent: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (key of a part, class, size * 8 + 1) of every class; a task sends a class once."""
+    """Rows (key of a part, class, size) of every class; a task sends a class once."""
     seen: set[int] = set()
     for batch in batches:
         tokens, keys, metas = [], [], []
-        for s in shingle_sets(batch.column(1), k):
-            if not len(s) or (key := class_key(s)) in seen:
+        sets = [*shingle_sets(batch.column(1), k)]
+        for key, s in zip(class_keys(sets), sets, strict=True):
+            if not len(s) or key in seen:
                 continue
             seen.add(key)
             for part in partition_keys(s, percent, frequent):
                 tokens.append(part)
                 keys.append(np.full(len(part), key, np.int64))
-                metas.append(np.full(len(part), len(s) * 8 + 1, np.int64))
+                metas.append(np.full(len(part), meta_of(len(s), 0, 1), np.int64))
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(metas))], ["token", "key", "meta"])
 
@@ -217,11 +229,15 @@ class _Pairs:
     def __init__(self, percent: int, group_most: int, mark: bool):
         self.percent, self.group_most, self.mark = percent, group_most, mark
         self.found: list[tuple[np.ndarray, ...]] = []
+        self.marked = np.zeros(0, np.int64)
 
     def add(self, key1, meta1, key2, meta2, shared) -> None:
-        n1, n2 = meta1 >> 3, meta2 >> 3
+        n1, n2 = meta1 >> 27, meta2 >> 27
+        i, j = (meta1 >> 3) & 0xFFFFFF, (meta2 >> 3) & 0xFFFFFF
+        # What two sets share lies before the token in both, or behind it in both.
+        most = np.minimum(i, j) + np.minimum(n1 - i, n2 - j)
         # Classes of a star are compared with each other later, however unlike their sizes are to its centre's.
-        fit = (shared == STAR) | (100 * np.minimum(n1, n2) >= self.percent * np.maximum(n1, n2))
+        fit = (shared == STAR) | (100 * most >= self.percent * (n1 + n2 - most))
         a, b = np.minimum(key1, key2)[fit], np.maximum(key1, key2)[fit]
         if len(a):
             self.found.append((a, b, np.minimum(meta1 & 7, meta2 & 7)[fit], np.broadcast_to(shared, fit.shape)[fit]))
@@ -256,7 +272,12 @@ class _Pairs:
         order = np.lexsort((b, a))
         a, b, need, shared = a[order], b[order], need[order], shared[order]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(need[new]), pa.array(np.add.reduceat(shared, new))], ["a", "b", "need", "shared"])
+        a, b, need, shared = a[new], b[new], need[new], np.add.reduceat(shared, new)
+        if self.mark:  # a task marks a class once
+            fresh = (a != b) | ~np.isin(a, self.marked)
+            self.marked = np.union1d(self.marked, a[a == b])
+            a, b, need, shared = a[fresh], b[fresh], need[fresh], shared[fresh]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, need, shared)], ["a", "b", "need", "shared"])
 
 
 def _pairs(batches, percent: int, group_most: int, mark: bool) -> Iterator[pa.RecordBatch]:
@@ -429,7 +450,7 @@ def linked_components(
     """``(id, n, component, copies)`` of every row of ``docs(id, text)``: its set's size, its component, and the rows of its class.
 
     ``candidates(table)`` is given the broadcast table of frequent shingles and returns the function
-    that makes rows (token, class, size * 8 + demand) of batches of ``docs``; classes that share as
+    that makes rows (token, class, ``meta_of``) of batches of ``docs``; classes that share as
     many tokens as they demand are compared. Without ``unique``, many rows may repeat an id and its text.
     With ``partition``, classes of tokens that many share are compared if they share a partition key.
     """

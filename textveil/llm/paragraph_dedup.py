@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textveil.llm.common import checkpointed
-from textveil.llm.jaccard_join import BROADCAST_IDS, class_key, linked_components, shingle_sets
+from textveil.llm.jaccard_join import BROADCAST_IDS, class_keys, linked_components, meta_of, shingle_sets
 from textveil.llm.textblock import blocks, mix, owners, windows
 
 #: Lengths of removals are below this; places pack start and length into one number.
@@ -46,31 +46,31 @@ def tuned(percent: int = 80, recall: float = 0.99, rows: int = 2) -> int:
     return bands
 
 
-def signature(shingles: np.ndarray, n: int) -> np.ndarray:
-    """n minimum hashes of a set."""
-    seeds = mix(np.arange(1, n + 1, dtype=np.uint64))
-    return np.array([mix(shingles ^ s).min() for s in seeds], dtype=np.uint64)
+def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """n minimum hashes of each set, none of which is empty."""
+    flat = np.concatenate(sets)
+    begin = np.cumsum([0, *(len(s) for s in sets[:-1])])
+    return np.stack([np.minimum.reduceat(mix(flat ^ seed), begin) for seed in mix(np.arange(1, n + 1, dtype=np.uint64))], axis=1)
 
 
 def _band_rows(batches, k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """Rows (band, class, size * 8 + 1) of every class of paragraphs; a task sends a class once."""
+    """Rows (band, class, size) of every class of paragraphs; a task sends a class once."""
     seen: set[int] = set()
     for batch in batches:
-        values, keys, sizes = [], [], []
-        for s in shingle_sets(batch.column(1), k):
-            if not len(s) or (key := class_key(s)) in seen:
-                continue
-            seen.add(key)
-            values.append(signature(s, bands * rows))
-            keys.append(key)
-            sizes.append(len(s) * 8 + 1)
-        if keys:
-            value = np.array(values).reshape(len(keys), bands, rows)
+        sets, keys, found = [], [], [*shingle_sets(batch.column(1), k)]
+        for key, s in zip(class_keys(found), found, strict=True):
+            if len(s) and key not in seen:
+                seen.add(key)
+                sets.append(s)
+                keys.append(key)
+        if sets:
+            value = signatures(sets, bands * rows).reshape(len(keys), bands, rows)
             band = np.zeros((len(keys), bands), dtype=np.uint64)
             for r in range(rows):
                 band = mix(band * np.uint64(0x9E3779B97F4A7C15) + value[:, :, r])
             band = mix(band + np.arange(bands, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(band.reshape(-1).view(np.int64)), pa.array(np.repeat(keys, bands)), pa.array(np.repeat(sizes, bands))], ["token", "key", "meta"])
+            metas = np.array([meta_of(len(s), 0, 1) for s in sets], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(band.reshape(-1).view(np.int64)), pa.array(np.repeat(np.array(keys, dtype=np.int64), bands)), pa.array(np.repeat(metas, bands))], ["token", "key", "meta"])
 
 
 def anchors(hashes: np.ndarray, first: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray]:
