@@ -37,8 +37,8 @@ _STOP[list(b".!?\n")] = True
 
 @dataclass(frozen=True)
 class FieldSettings:
-    toxic_docs: int = 900
-    clean_docs: int = 1800
+    toxic_docs: int = 600
+    clean_docs: int = 1200
     max_chars: int = 32768
     bits: int = 18
     longest: int = 128
