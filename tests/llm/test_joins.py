@@ -209,3 +209,19 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(texts)
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_whole_shared_runs_go(spark):
+    rng = random.Random(5)
+    prose = lambda n, s: [f"{s}{rng.randint(0, 99999)}" for _ in range(n)]
+    texts, runs = {}, {}
+    for n, words in enumerate((50, 55, 60, 100)):
+        for copies in range(4):
+            a, run = 10 * (4 * n + copies), prose(words, "p")
+            for i in range(a, a + 3):
+                before, after = prose(rng.choice([0, 30, 45, 60]), "b"), prose(rng.choice([0, 30, 45, 60]), "a")
+                texts[i] = " ".join(before) + "\n" * bool(before) + " ".join(run[:20]) + "\n" + " ".join(run[20:]) + " " * bool(after) + " ".join(after)
+                runs[i] = (" ".join(run), i - a)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    cuts = {r.doc_id: " ".join(texts[r.doc_id][r.start : r.end].split()) for r in repeated_passages(docs).collect()}
+    assert cuts == {i: run for i, (run, copy) in runs.items() if copy}

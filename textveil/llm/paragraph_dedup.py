@@ -8,7 +8,9 @@ of their shingles, and links form components. Equal paragraphs are one class thr
 A passage may also sit inside longer lines. So every text is cut into anchored windows as well: of
 each ``span`` consecutive ``width``-word windows, the one of least hash (a local minimum hash, so
 copies of a passage select alike wherever they stand). Any passage of ``width + span - 1`` words, 50
-by default, holds a selected window, and equal windows form a component at once.
+by default, holds a selected window, and equal windows form a component at once. Where windows meet,
+the words around them are compared with the keeper's, so that the whole shared run goes: its first and
+last windows that both select are within ``span - 1`` words of its ends.
 
 In each component the first place (least document, then least position) stays; places in other
 documents are removals. Overlapping removals of a document are one.
@@ -133,6 +135,109 @@ def _later(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (ids, place, keeper)], ["id", "place", "kept"])
 
 
+def _shared(batches) -> Iterator[pa.RecordBatch]:
+    """From rows (token, id, place) sorted so: the rows of tokens that two documents or more hold.
+
+    The first document's rows of a token are all that is held of it.
+    """
+    names = ["token", "id", "place"]
+    held, lead = [], (None, None, False)
+    for batch in batches:
+        token, ids, place = (batch.column(i).to_numpy() for i in range(3))
+        if not len(token):
+            continue
+        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        first, runs = ids[begin], np.diff(np.append(begin, len(token)))
+        on = lead[0] == token[0]
+        if on:
+            first[0] = lead[1]
+        many = np.add.reduceat(np.repeat(first, runs) != ids, begin) > 0
+        if on:
+            if many[0] and not lead[2]:
+                yield from (pa.RecordBatch.from_arrays([pa.array(x) for x in h], names) for h in held)
+                held = []
+            many[0] |= lead[2]
+        if not on or len(begin) > 1:
+            held = []
+        if not many[-1]:
+            held.append(tuple(x[begin[-1] :].copy() for x in (token, ids, place)))
+        lead = (token[-1], first[-1], bool(many[-1]))
+        chosen = np.repeat(many, runs)
+        yield pa.RecordBatch.from_arrays([pa.array(x[chosen]) for x in (token, ids, place)], names)
+
+
+def _around_rows(batches, width: int, span: int) -> Iterator[pa.RecordBatch]:
+    """From rows (id, text, hits): rows (token, id, place, left, left_at, right, right_at) of each hit (token, place).
+
+    ``left`` and ``right`` are 32-bit hashes of the words around a window, outwards; ``left_at`` and
+    ``right_at`` are the code points that each of these words adds.
+    """
+    for batch in batches:
+        ids, hits = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+        bounds = hits.offsets.to_numpy()
+        values = hits.values.flatten()
+        tokens, places = values[0].to_numpy(zero_copy_only=False).view(np.uint64), values[1].to_numpy(zero_copy_only=False)
+        for block in blocks(batch.column(1)):
+            starts, ends, first = block.words()
+            hashes = block.hashes(starts, ends)
+            points = block.points()
+            at, value = windows(hashes, first, width)
+            window = np.zeros(len(starts), dtype=np.uint64)
+            window[at] = value
+            begin, end, short = points[starts], points[ends], (hashes >> np.uint64(32)).astype(np.uint32)
+            out: list[list] = [[] for _ in range(7)]
+            for d in range(block.n):
+                a, b, row = int(first[d]), int(first[d + 1]), block.first + d
+                zero = points[block.offsets[d]]
+                wanted, place = tokens[bounds[row] : bounds[row + 1]], places[bounds[row] : bounds[row + 1]]
+                found = a + np.searchsorted(begin[a:b], zero + (place >> _LENGTH_BITS))
+                for i, token, where in zip(found.tolist(), wanted, place.tolist(), strict=True):
+                    if i + width > b or window[i] != token or begin[i] != zero + (where >> _LENGTH_BITS):
+                        continue  # the place of another row of this id
+                    last = i + width
+                    left, right = slice(max(a, i - span + 1), i), slice(last, min(b, last + span - 1))
+                    cells = (
+                        token.view(np.int64), ids[row], where, short[left][::-1].tobytes(), np.diff(begin[left.start : i + 1])[::-1].astype(np.int32).tobytes(),
+                        short[right].tobytes(), np.diff(end[last - 1 : right.stop]).astype(np.int32).tobytes(),
+                    )
+                    for column, cell in zip(out, cells, strict=True):
+                        column.append(cell)
+            types = [pa.int64()] * 3 + [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["token", "id", "place", "left", "left_at", "right", "right_at"])
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """How many 32-bit values two sequences begin with in common."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n // 4
+    return int(np.argmax(np.frombuffer(a[:n], np.uint32) != np.frombuffer(b[:n], np.uint32)))
+
+
+def _extended(batches) -> Iterator[pa.RecordBatch]:
+    """From rows of ``_around_rows`` sorted by token, document and place: rows (id, place, kept) of all documents but the first of each token.
+
+    A place takes in the words around it that are also around the first document's; that document's
+    surroundings, each once, are all that is held of a token.
+    """
+    token, keeper, kept = None, None, {}
+    for batch in batches:
+        out = []
+        for t, i, place, left, left_at, right, right_at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if t != token:
+                token, keeper, kept = t, i, {}
+            if i == keeper:
+                kept[left, right] = None
+                continue
+            start, length = place >> _LENGTH_BITS, place & ((1 << _LENGTH_BITS) - 1)
+            for before, after in kept:
+                n, m = _common(left, before), _common(right, after)
+                ahead, behind = (int(np.frombuffer(x[: 4 * c], np.int32).sum(dtype=np.int64)) for x, c in ((left_at, n), (right_at, m)))
+                out.append((i, (start - ahead) << _LENGTH_BITS | min(length + ahead + behind, (1 << _LENGTH_BITS) - 1), keeper))
+        out = sorted(set(out))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], ["id", "place", "kept"])
+
+
 def _merged(batches) -> Iterator[pa.RecordBatch]:
     """From rows (id, place, kept) sorted by id and place: overlapping or touching places of a document as one row."""
     held = None
@@ -188,9 +293,12 @@ def repeated_passages(
     few = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     places = docs.mapInArrow(lambda b: _line_rows(b, min_words), "line long, id long, place long").join(F.broadcast(shared) if few else shared, "line")
     tokens = docs.mapInArrow(lambda b: _window_rows(b, width, span, distinct), "token long, id long, place long")
-    # A line's component and a window's hash are both names of a passage; they are kept apart by a change of the hash.
-    tokens = tokens.union(places.select(F.xxhash64("component").alias("token"), "id", "place"))
-    later = tokens.repartition("token").sortWithinPartitions("token", "id", "place").mapInArrow(_later, "id long, place long, kept long")
+    hits = tokens.repartition("token").sortWithinPartitions("token", "id", "place").mapInArrow(_shared, "token long, id long, place long")
+    hits = hits.groupBy("id").agg(F.collect_list(F.struct("token", "place")).alias("hits"))
+    around = docs.join(hits, "id").select("id", "text", "hits").mapInArrow(lambda b: _around_rows(b, width, span), "token long, id long, place long, left binary, left_at binary, right binary, right_at binary")
+    later = around.repartition("token").sortWithinPartitions("token", "id", "place").mapInArrow(_extended, "id long, place long, kept long")
+    lines = places.select(F.xxhash64("component").alias("token"), "id", "place").repartition("token").sortWithinPartitions("token", "id", "place")
+    later = later.union(lines.mapInArrow(_later, "id long, place long, kept long"))
     spans = later.repartition("id").sortWithinPartitions("id", "place").mapInArrow(_merged, "id long, start long, end long, kept long")
     return spans.select(F.col("id").alias(id_col), "start", "end", F.col("kept").alias("kept_id"))
 
