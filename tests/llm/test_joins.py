@@ -225,3 +225,12 @@ def test_whole_shared_runs_go(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     cuts = {r.doc_id: " ".join(texts[r.doc_id][r.start : r.end].split()) for r in repeated_passages(docs).collect()}
     assert cuts == {i: run for i, (run, copy) in runs.items() if copy}
+
+
+def test_passages_of_few_distinct_words(spark):
+    rng = random.Random(6)
+    prose = lambda n, s: [f"{s}{rng.randint(0, 99999)}" for _ in range(n)]
+    runs = ["one two three four five".split() * 12, [rng.choice("a b c d e f g h".split()) for _ in range(60)], prose(60, "p") + ["be"] * 100 + prose(60, "q")]
+    texts = {10 * i + j: " ".join([*prose(80, "b"), *run, *prose(80, "a")]) for i, run in enumerate(runs) for j in range(3)}
+    found = repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: texts[r.doc_id][r.start : r.end].split() for r in found} == {10 * i + j: run for i, run in enumerate(runs) for j in (1, 2)}

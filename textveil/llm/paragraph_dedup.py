@@ -15,8 +15,9 @@ last windows that both select are within ``span - 1`` words of its ends.
 In each component the first place (least document, then least position) stays; places in other
 documents are removals. Overlapping removals of a document are one.
 
-Defined results: a null, empty or wordless text has no paragraphs. Windows with fewer than half as
-many distinct words as ``distinct`` demands (a repeated word) are no passages. Copies inside one
+Defined results: a null, empty or wordless text has no paragraphs. Windows of fewer
+distinct words than ``distinct`` (one or two words, repeated) are not chosen from, so passages of these
+alone are found as lines only; between other words they go with the shared run. Copies inside one
 document are no removals. Repeated rows with one id are one document. An empty table gives an empty
 table; other columns are not read (finding) or pass through unchanged (removing).
 """
@@ -75,11 +76,22 @@ def _band_rows(batches, k: int, bands: int, rows: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(band.reshape(-1).view(np.int64)), pa.array(np.repeat(np.array(keys, dtype=np.int64), bands)), pa.array(np.repeat(metas, bands))], ["token", "key", "meta"])
 
 
-def anchors(hashes: np.ndarray, first: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of ``width`` words that have the least hash among ``span`` in sequence (the last of equals): begin and hash."""
+def varieties(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Distinct words of the ``width`` words from each word on, for windows within a text."""
+    order = np.argsort(hashes, kind="stable")
+    before, after = order[:-1], order[1:]
+    near = (hashes[before] == hashes[after]) & (after - before < width)
+    change = np.bincount(np.maximum(after[near] - width + 1, 0), minlength=len(hashes) + 1) - np.bincount(before[near] + 1, minlength=len(hashes) + 1)
+    return width - np.cumsum(change)[: len(hashes)]
+
+
+def anchors(hashes: np.ndarray, first: np.ndarray, width: int, span: int, distinct: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of ``width`` words, ``distinct`` of them distinct, that have the least hash among ``span`` in sequence (the last of equals): begin and hash."""
     at, value = windows(hashes, first, width)
     if not len(at):
         return at, value
+    varied = varieties(hashes, width)[at] >= distinct
+    value = np.where(varied, value, ~np.uint64(0))
     cut = np.searchsorted(at, first)
     chosen = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -91,22 +103,20 @@ def anchors(hashes: np.ndarray, first: np.ndarray, width: int, span: int) -> tup
                 runs = np.lib.stride_tricks.sliding_window_view(value[a:b], span)[:, ::-1]
                 chosen.append(np.unique(a + np.arange(n - span + 1) + span - 1 - np.argmin(runs, axis=1)))
     chosen = np.concatenate(chosen)
+    chosen = chosen[varied[chosen]]
     return at[chosen], value[chosen]
 
 
-def _window_rows(batches, width: int, span: int, distinct: float) -> Iterator[pa.RecordBatch]:
+def _window_rows(batches, width: int, span: int, distinct: int) -> Iterator[pa.RecordBatch]:
     """Rows (token, doc, place) of anchored windows; place packs start and length in code points."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for block in blocks(batch.column(1)):
             starts, ends, first = block.words()
             hashes = block.hashes(starts, ends)
-            at, value = anchors(hashes, first, width, span)
+            at, value = anchors(hashes, first, width, span, distinct)
             if not len(at):
                 continue
-            words = np.sort(hashes[at[:, None] + np.arange(width)], axis=1)
-            varied = 1 + (words[:, 1:] != words[:, :-1]).sum(axis=1) >= distinct * width
-            at, value = at[varied], value[varied]
             owner = owners(first)[at]
             points = block.points()
             start = points[starts[at]] - points[block.offsets[owner]]
@@ -166,9 +176,10 @@ def _shared(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[chosen]) for x in (token, ids, place)], names)
 
 
-def _around_rows(batches, width: int, span: int) -> Iterator[pa.RecordBatch]:
+def _around_rows(batches, width: int, span: int, distinct: int) -> Iterator[pa.RecordBatch]:
     """From rows (id, text, hits): rows (token, id, place, left, left_at, right, right_at) of each hit (token, place).
 
+    They reach over ``span - 1`` words, or over all windows beside the hit that were not chosen from.
     ``left`` and ``right`` are 32-bit hashes of the words around a window, outwards; ``left_at`` and
     ``right_at`` are the code points that each of these words adds.
     """
@@ -184,6 +195,7 @@ def _around_rows(batches, width: int, span: int) -> Iterator[pa.RecordBatch]:
             at, value = windows(hashes, first, width)
             window = np.zeros(len(starts), dtype=np.uint64)
             window[at] = value
+            varied = at[varieties(hashes, width)[at] >= distinct]
             begin, end, short = points[starts], points[ends], (hashes >> np.uint64(32)).astype(np.uint32)
             out: list[list] = [[] for _ in range(7)]
             for d in range(block.n):
@@ -194,8 +206,10 @@ def _around_rows(batches, width: int, span: int) -> Iterator[pa.RecordBatch]:
                 for i, token, where in zip(found.tolist(), wanted, place.tolist(), strict=True):
                     if i + width > b or window[i] != token or begin[i] != zero + (where >> _LENGTH_BITS):
                         continue  # the place of another row of this id
-                    last = i + width
-                    left, right = slice(max(a, i - span + 1), i), slice(last, min(b, last + span - 1))
+                    last, k = i + width, int(np.searchsorted(varied, i))
+                    before = int(varied[k - 1]) + 1 if k and varied[k - 1] >= a else a
+                    after = int(varied[k + 1]) - 1 + width if k + 1 < len(varied) and varied[k + 1] < b else b
+                    left, right = slice(max(a, min(i - span + 1, before)), i), slice(last, min(b, max(last + span - 1, after)))
                     cells = (
                         token.view(np.int64), ids[row], where, short[left][::-1].tobytes(), np.diff(begin[left.start : i + 1])[::-1].astype(np.int32).tobytes(),
                         short[right].tobytes(), np.diff(end[last - 1 : right.stop]).astype(np.int32).tobytes(),
@@ -279,7 +293,7 @@ def _line_rows(batches, min_words: int) -> Iterator[pa.RecordBatch]:
 
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, recall: float = 0.99,
-    rows: int = 2, min_words: int = 50, width: int = 26, span: int = 25, distinct: float = 0.5,
+    rows: int = 2, min_words: int = 50, width: int = 26, span: int = 25, distinct: int = 3,
 ) -> DataFrame:
     """``(id_col, start, end, kept_id)``: code points of each removal, and a document that keeps the passage."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
@@ -295,7 +309,7 @@ def repeated_passages(
     tokens = docs.mapInArrow(lambda b: _window_rows(b, width, span, distinct), "token long, id long, place long")
     hits = tokens.repartition("token").sortWithinPartitions("token", "id", "place").mapInArrow(_shared, "token long, id long, place long")
     hits = hits.groupBy("id").agg(F.collect_list(F.struct("token", "place")).alias("hits"))
-    around = docs.join(hits, "id").select("id", "text", "hits").mapInArrow(lambda b: _around_rows(b, width, span), "token long, id long, place long, left binary, left_at binary, right binary, right_at binary")
+    around = docs.join(hits, "id").select("id", "text", "hits").mapInArrow(lambda b: _around_rows(b, width, span, distinct), "token long, id long, place long, left binary, left_at binary, right binary, right_at binary")
     later = around.repartition("token").sortWithinPartitions("token", "id", "place").mapInArrow(_extended, "id long, place long, kept long")
     lines = places.select(F.xxhash64("component").alias("token"), "id", "place").repartition("token").sortWithinPartitions("token", "id", "place")
     later = later.union(lines.mapInArrow(_later, "id long, place long, kept long"))
