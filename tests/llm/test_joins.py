@@ -234,3 +234,42 @@ def test_passages_of_few_distinct_words(spark):
     texts = {10 * i + j: " ".join([*prose(80, "b"), *run, *prose(80, "a")]) for i, run in enumerate(runs) for j in range(3)}
     found = repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: texts[r.doc_id][r.start : r.end].split() for r in found} == {10 * i + j: run for i, run in enumerate(runs) for j in (1, 2)}
+
+
+def test_passages_of_the_table_equal_brute_force(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    planted = [w for t in list(texts.values())[:40] for w in t.split()[:3]][:70]
+    texts |= {10**6 + i: " ".join([f"x{i}_{j}" for j in range(90)] + planted + [f"y{i}_{j}" for j in range(90)]) for i in range(3)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = collections.defaultdict(list)
+    for r in repeated_passages(docs).collect():
+        spans[r.doc_id].append((r.start, r.end))
+    words = {i: [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for i, t in texts.items()}
+    cuts = {i: [any(a <= s and e <= b for a, b in spans[i]) for _, s, e in w] for i, w in words.items()}
+    first = {n: {} for n in (26, 50)}
+    for n, held in first.items():
+        for i in sorted(words):
+            for j in range(len(words[i]) - n + 1):
+                held.setdefault(tuple(w for w, _, _ in words[i][j : j + n]), (i, j))
+    lines = {(i, m.start(), m.end()): m[0] for i in sorted(texts) for m in re.finditer("[^\n]+", texts[i]) if len(m[0].split()) >= 50}
+    names = list(lines)
+    near = brute_components(dict(enumerate(lines.values())), 5, 80)
+    n_runs = 0
+    for i, w in words.items():
+        # Nothing else goes: each word is in a window of 26 words, or in a line like one, of an earlier document.
+        may = [False] * len(w)
+        for j in range(len(w) - 25):
+            if first[26][tuple(x for x, _, _ in w[j : j + 26])][0] < i:
+                may[j : j + 26] = [True] * 26
+        for at, (_, c) in near.items():
+            if names[at][0] == i and names[c][0] < i:
+                may = [m or (names[at][1] <= s and e <= names[at][2]) for m, (_, s, e) in zip(may, w, strict=True)]
+        assert not [x for x, m, c in zip(w, may, cuts[i], strict=True) if c and not m]
+        # Shared runs of 50 words go whole, unless a still earlier document takes a part of them from both.
+        for j in range(len(w) - 49):
+            run = tuple(x for x, _, _ in w[j : j + 50])
+            a, b = first[50][run]
+            if a < i and max(len(set(run[x : x + 26])) for x in range(25)) > 2:
+                n_runs += 1
+                assert all(cuts[i][j : j + 50]) or (any(cuts[i][j : j + 50]) and any(cuts[a][b : b + 50]))
+    assert n_runs >= 42
