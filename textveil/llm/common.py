@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small table in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a
-    folder of this machine is taken.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, as in tests, see
+    ``shared_folder``. Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have Spark delete
+    checkpoints that nothing refers to any more.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -26,6 +28,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys that are looked up in a broadcast: fewer than this, as each holds more than such a part of the rows.
+HOT_KEYS = 10_000
+#: Rows of one key that a task takes in any case.
+KEY_ROWS = 500
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and in ``key_rows`` how many of ``rows`` have it.
+
+    Keys of more than ``total / HOT_KEYS`` rows, which are fewer than ``HOT_KEYS``, are looked up in a
+    broadcast of theirs, so that no task gets all rows of a hub; all others meet by a shuffle.
+    """
+    most = max(KEY_ROWS, total // HOT_KEYS)
+    if total <= most:
+        return rows.join(table.drop("key_rows"), key)
+    hot = F.broadcast(table.where(F.col("key_rows") > most).drop("key_rows"))
+    cool = table.where(F.col("key_rows") <= most).drop("key_rows")
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(table.where(F.col("key_rows") > most).select(key)), key, "left_anti").join(cool, key))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that none of ``taken`` equals in any case."""
+    held = {x.lower() for x in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A table of fewer tasks than there are cores, dealt out by a key; any larger one as it is, without a shuffle."""
     n = df.sparkSession.sparkContext.defaultParallelism
@@ -72,12 +102,24 @@ def importable(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of this machine where the session names none, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """The folder that all executors share; a folder of this machine only where the session names none and runs on this machine alone."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A table written as Parquet in the shared folder, and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return stored_at(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a table that was stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import checkpointed
+from textveil.llm.common import KEY_ROWS, checkpointed, looked_up
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    """Twice the number of links and their digest, and the largest number of links of a node."""
+    each = _both(edges).groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    return tuple(each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())
 
 
 #: Rows of a link table that one task takes.
@@ -19,8 +25,9 @@ TASK_ROWS = 250_000
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, component)`` of every node of ``links(a, b)``; the component is its smallest node.
 
-    Each round points every neighbour of a node at the smallest of them, as joins on the node with
-    minima that are pre-aggregated, so that a hub is a skewed join and never one task's list. Links
+    Each round points every neighbour of a node at the smallest of them: minima by node, pre-aggregated,
+    and a lookup of the node's minimum for each link. The nodes of very many links are looked up in a
+    broadcast of bounded size (``looked_up``), so no task gets the links of a hub. Links
     that are loops, repeated or hold a null change nothing; no links give no rows. The tables shrink as
     rounds go on, and so do the tasks: there is one for ``TASK_ROWS`` rows, or for each core.
     """
@@ -28,12 +35,15 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = checkpointed(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
     for _ in range(most_rounds):
-        tasks = max(cores, -(-state[0] // TASK_ROWS))
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        tasks = max(cores, -(-state[0] // (2 * TASK_ROWS)))
+        even = state[2] <= KEY_ROWS  # no node has many links, nor will have in this round's tables
+        total = 0 if even else state[0]
+        both = _both(edges)
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("key_rows")).withColumn("m", F.least("a", "m"))
+        large = looked_up(both, least, "a", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = checkpointed(large.coalesce(tasks))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("key_rows"))
+        small = looked_up(large, least, "a", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpointed(least.select("a", F.col("m").alias("b")).union(small).distinct().coalesce(tasks))
         now = _state(edges)
         if now == state:

@@ -8,15 +8,21 @@ of least estimated cost (tokens to index, and pairs to verify), so a prefix that
 tokens is lengthened, and a pair is verified only if it shares as many prefix tokens as the smaller
 of both l demands.
 
-Documents with equal sets are one class and travel once. Prefix tokens that more than ``group_most``
-classes share yield no pairs; as a corpus grows, chance alone makes such tokens. Their classes are
-joined on partition keys instead: shingles are dealt by hash into more parts than two sets that link
+Documents with equal sets are one class and travel once. A prefix token travels with a parity sketch
+of its class: one bit for each of a number of cells that grows with the set, whether the cell holds an
+odd number of its shingles. What two sets share cancels out, so the bits in which two sketches differ
+are at most as many as the shingles in which the sets differ, and classes that share a token by chance
+are told apart where their rows meet; only others are emitted. A token whose classes would make more
+than ``pairs_most`` comparisons of fitting sizes, or ``emit_most`` pairs, for each class, yields no
+pairs. Its classes are joined on partition keys instead: shingles are dealt by hash into more parts than two sets that link
 can differ in shingles, so some part is the same in both, and its content's hash is a key that
 unrelated texts don't share. A key that more than ``group_most`` classes share, a family of copies,
 yields a star around its first class instead of all pairs; the classes that stars hold together are
 compared with the one among them that is in most groups, and then, those that this left apart, with
 all others, in blocks of bounded size whose tasks return spanning links alone. So no link between
-components is lost and no list of pairs grows with the square of a group.
+components is lost and no list of pairs grows with the square of a group. All tables between the
+first and the last are keyed by class; a class or a component of very many rows is looked up in a
+broadcast of bounded size (``common.looked_up``).
 
 Defined results: a text with fewer than k words is one shingle of all its words; a null text or one
 without words has no shingles, links with nothing and is its own component. Copies and repeated rows
@@ -34,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import checkpointed
+from textveil.llm.common import checkpointed, looked_up
 from textveil.llm.components import connected_components
 from textveil.llm.textblock import blocks, mix, windows
 
@@ -83,6 +89,20 @@ def least_common(n, percent: int):
     return -(-percent * n // 100)
 
 
+def sketch_words(n: int, percent: int, most: int = 8) -> int:
+    """64-bit words of the sketch of a set of n: enough to tell unrelated sets apart, a power of two up to ``most``."""
+    apart, words = 2 * n * (100 - percent) / (100 + percent), 1
+    while words < most and 64 * words - 2 * (64 * words) ** 0.5 < 2 * apart:
+        words *= 2
+    return words
+
+
+def sketch(shingles: np.ndarray, words: int) -> np.ndarray:
+    """A set's parity sketch, as bytes. Sketches of twice the words fold into it by exclusive or of their halves."""
+    cell = (mix(shingles + np.uint64(0xA24BAED4963EE407)) & np.uint64(64 * words - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=64 * words).astype(np.uint8) & 1, bitorder="little")
+
+
 def _classes_and_counts(batches, k: int, count_frequent: bool) -> Iterator[pa.RecordBatch]:
     """Rows (kind 0, id, class, size), and (kind 1, null, shingle, documents) for shingles that a run of texts repeats."""
     held: list[np.ndarray] = []
@@ -156,10 +176,10 @@ def choose_matches(expected: np.ndarray, n: int, percent: int, most: int = 7, ve
 
 
 def _prefix_rows(batches, k: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (token, class, size and place and demand) of every class's prefix; a task sends a class once."""
+    """Rows (token, class, size and place and demand, sketch) of every class's prefix; a task sends a class once."""
     seen: set[int] = set()
     for batch in batches:
-        tokens, keys, metas = [], [], []
+        tokens, keys, metas, sketches, widths = [], [], [], [], []
         sets = [*shingle_sets(batch.column(1), k)]
         for key, s in zip(class_keys(sets), sets, strict=True):
             if not len(s) or key in seen:
@@ -167,11 +187,16 @@ def _prefix_rows(batches, k: int, percent: int, frequent: np.ndarray, counts: np
             seen.add(key)
             ordered, expected = ordered_tokens(s, frequent, counts)
             demand, length = choose_matches(expected, len(s), percent)
+            own = sketch(s, sketch_words(len(s), percent))
             tokens.append(ordered[:length])
             keys.append(np.full(length, key, np.int64))
             metas.append(meta_of(len(s), np.arange(length), demand))
+            sketches.append(np.tile(own, length))
+            widths.append(np.full(length, len(own), np.int32))
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(metas))], ["token", "key", "meta"])
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(widths), dtype=np.int32)]).astype(np.int32)
+            written = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(sketches))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(metas)), written], ["token", "key", "meta", "sketch"])
 
 
 def partition_keys(shingles: np.ndarray, percent: int, frequent: np.ndarray) -> list[np.ndarray]:
@@ -223,91 +248,191 @@ def _partition_rows(batches, k: int, percent: int, frequent: np.ndarray) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(metas))], ["token", "key", "meta"])
 
 
+_PAIRS = ["a", "b", "na", "nb", "need", "shared"]
+PAIRS = "a long, b long, na long, nb long, need long, shared long"
+
+
 class _Pairs:
-    """Turns a stream of rows sorted by token and class into pairs."""
+    """Pairs that a task has found, summed up by pair before they go on."""
 
-    def __init__(self, percent: int, group_most: int, mark: bool):
-        self.percent, self.group_most, self.mark = percent, group_most, mark
+    def __init__(self, percent: int):
+        self.percent, self.n = percent, 0
         self.found: list[tuple[np.ndarray, ...]] = []
-        self.marked = np.zeros(0, np.int64)
 
-    def add(self, key1, meta1, key2, meta2, shared) -> None:
+    def may_link(self, meta1, meta2) -> np.ndarray:
+        """Whether sizes and places allow a link: what two sets share lies before the token in both, or behind it in both."""
         n1, n2 = meta1 >> 27, meta2 >> 27
         i, j = (meta1 >> 3) & 0xFFFFFF, (meta2 >> 3) & 0xFFFFFF
-        # What two sets share lies before the token in both, or behind it in both.
         most = np.minimum(i, j) + np.minimum(n1 - i, n2 - j)
+        return 100 * most >= self.percent * (n1 + n2 - most)
+
+    def add(self, key1, meta1, key2, meta2, shared: int) -> None:
+        if len(key1):
+            low = key1 <= key2
+            n1, n2 = meta1 >> 27, meta2 >> 27
+            self.found.append((np.where(low, key1, key2), np.where(low, key2, key1), np.where(low, n1, n2), np.where(low, n2, n1), np.minimum(meta1 & 7, meta2 & 7), np.full(len(key1), shared)))
+            self.n += len(key1)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.found:
+            a, b, na, nb, need, shared = (np.concatenate(x) for x in zip(*self.found, strict=True))
+            self.found, self.n = [], 0
+            order = np.lexsort((b, a))
+            a, b, shared = a[order], b[order], shared[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            columns = a[new], b[new], na[order][new], nb[order][new], need[order][new], np.add.reduceat(shared, new)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], _PAIRS)
+
+
+def _starts(token: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+
+
+def _by_token(batches, columns: int, rows: int) -> Iterator[tuple[list, bool]]:
+    """Columns of rows sorted by token, in runs of about ``rows``: whole groups of equal tokens, but for a group that alone exceeds a run (then True). Repeated rows of a class follow each other and count once."""
+    held: list[pa.RecordBatch] = []
+    kept = None  # the run's rest: the group under way
+    size = 0
+
+    def gathered(more: list[pa.RecordBatch]) -> list:
+        table = pa.Table.from_batches(more).combine_chunks() if more else None
+        own = [] if table is None else [table.column(i).to_numpy() for i in range(3)] + [np.asarray(table.column(i).to_pylist(), dtype=object) for i in range(3, columns)]
+        own = own if kept is None else kept if not own else [np.concatenate([x, y]) for x, y in zip(kept, own, strict=True)]
+        if own and len(own[0]):
+            new = np.concatenate([[True], (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])])
+            own = [x[new] for x in own]
+        return own
+
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size < rows:
+            continue
+        own = gathered(held)
+        held, size, last = [], 0, int(_starts(own[0])[-1])
+        if last:
+            yield [x[:last] for x in own], False
+            kept = [x[last:] for x in own]
+        else:
+            yield own, True
+            kept = [x[-1:] for x in own]  # in case its class goes on
+    own = gathered(held)
+    if own:
+        yield own, False
+
+
+class _Sketches:
+    """Sketches of rows, folded to each width."""
+
+    def __init__(self, column: np.ndarray):
+        self.words = np.array([len(x) >> 3 for x in column], dtype=np.int64)
+        most = int(self.words.max()) if len(column) else 1
+        whole = np.zeros((len(column), most), dtype=np.uint64)
+        for w in np.unique(self.words):
+            at = np.flatnonzero(self.words == w)
+            whole[at, :w] = np.frombuffer(b"".join(column[at]), dtype="<u8").reshape(len(at), w)
+        self.folded = {most: whole}
+        while most > 1:
+            half = most >> 1
+            self.folded[half] = np.where((self.words > half)[:, None], whole[:, :half] ^ whole[:, half:], whole[:, :half])
+            whole, most = self.folded[half], half
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many shingles the sets of rows i and j differ at least."""
+        words, out = np.minimum(self.words[i], self.words[j]), np.zeros(len(i), dtype=np.int64)
+        for w, folded in self.folded.items():
+            at = np.flatnonzero(words == w)
+            if len(at):
+                out[at] = np.bitwise_count(folded[i[at]] ^ folded[j[at]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _prefix_pairs(batches, percent: int, pairs_most: int, emit_most: int, run_rows: int = 1 << 15, chunk: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes that share a token and may link, from rows sorted by token and size; and, with b null, the classes of tokens that yield no pairs.
+
+    For each class of a token, others of like size follow it. A token that would take more than
+    ``pairs_most`` comparisons a class, or yield more than ``emit_most`` pairs a class, yields none.
+    """
+    out, marked = _Pairs(percent), set()
+    over = None  # the token of a group that is larger than a run
+
+    def marks(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.array([x for x in np.unique(keys).tolist() if x not in marked], dtype=np.int64)
+        marked.update(new.tolist())  # a task names a class once
+        if len(new):
+            nothing, none = np.zeros(len(new), np.int64), pa.nulls(len(new), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(new), none, pa.array(nothing), pa.array(nothing), pa.array(nothing), pa.array(nothing)], _PAIRS)
+
+    for (token, key, meta, column), large in _by_token(batches, 4, run_rows):
+        if large:
+            over = token[0]
+            yield from marks(key)
+            continue
+        begin = _starts(token)
+        size = np.diff(np.append(begin, len(token)))
+        group = np.repeat(np.arange(len(begin)), size)
+        n = meta >> 27
+        place = (group << 32) + n
+        follow = np.searchsorted(place, (group << 32) + 100 * n // percent, side="right") - np.arange(len(token)) - 1
+        wide = np.add.reduceat(follow, begin) > pairs_most * size
+        wide[0] |= token[0] == over
+        follow[wide[group]] = 0
+        sketches = _Sketches(column)
+        found, ends = [], np.cumsum(follow)
+        at = 0
+        while at < len(token):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, side="right")))
+            count = follow[at:stop]
+            i = np.repeat(np.arange(at, stop), count)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            fit = out.may_link(meta[i], meta[j])
+            i, j = i[fit], j[fit]
+            fit = sketches.differ(i, j) * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            found.append((i[fit], j[fit]))
+            at = stop
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        wide |= np.bincount(group[i], minlength=len(begin)) > emit_most * size
+        few = ~wide[group[i]]
+        i, j = i[few], j[few]
+        out.add(key[i], meta[i], key[j], meta[j], 1)
+        yield from marks(key[wide[group]])
+        if out.n > 100_000:
+            yield from out.flush()
+    yield from out.flush()
+
+
+def _star_pairs(batches, percent: int, group_most: int, run_rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes from rows sorted by token and size: all of a token, or, of more than ``group_most`` classes, the first with each other."""
+    out = _Pairs(percent)
+    centre = None  # (token, class, meta) of a group that is streaming
+
+    def star(key1, meta1, keys, metas) -> None:
         # Classes of a star are compared with each other later, however unlike their sizes are to its centre's.
-        fit = (shared == STAR) | (100 * most >= self.percent * (n1 + n2 - most))
-        a, b = np.minimum(key1, key2)[fit], np.maximum(key1, key2)[fit]
-        if len(a):
-            self.found.append((a, b, np.minimum(meta1 & 7, meta2 & 7)[fit], np.broadcast_to(shared, fit.shape)[fit]))
-
-    def groups(self, token, key, meta) -> None:
-        """Whole groups of one token each."""
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        out.add(np.full(len(keys), key1), np.full(len(keys), meta1), keys, metas, STAR)
+
+    for (token, key, meta), large in _by_token(batches, 3, run_rows):
+        begin = _starts(token)
         size = np.diff(np.append(begin, len(token)))
         for s in np.unique(size[size > 1]):
             at = begin[size == s]
-            if s <= self.group_most:
-                for i in range(s):
-                    for j in range(i + 1, s):
-                        self.add(key[at + i], meta[at + i], key[at + j], meta[at + j], np.int64(1))
-            else:
-                for a in at:
-                    self.star(key[a], meta[a], key[a + 1 : a + s], meta[a + 1 : a + s])
-
-    def star(self, key1, meta1, key2, meta2) -> None:
-        """Pairs of the group's first class with others; or, if classes of large groups are but marked, each with itself."""
-        if self.mark:
-            both, metas = np.append(key2, key1), np.append(meta2, meta1)
-            self.add(both, metas, both, metas, np.int64(STAR))
-            return
-        self.add(np.full(len(key2), key1), np.full(len(key2), meta1), key2, meta2, np.int64(STAR))
-
-    def flush(self) -> pa.RecordBatch | None:
-        if not self.found:
-            return None
-        a, b, need, shared = (np.concatenate(x) for x in zip(*self.found, strict=True))
-        self.found = []
-        order = np.lexsort((b, a))
-        a, b, need, shared = a[order], b[order], need[order], shared[order]
-        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        a, b, need, shared = a[new], b[new], need[new], np.add.reduceat(shared, new)
-        if self.mark:  # a task marks a class once
-            fresh = (a != b) | ~np.isin(a, self.marked)
-            self.marked = np.union1d(self.marked, a[a == b])
-            a, b, need, shared = a[fresh], b[fresh], need[fresh], shared[fresh]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, need, shared)], ["a", "b", "need", "shared"])
-
-
-def _pairs(batches, percent: int, group_most: int, mark: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes from rows sorted by token and class. A group over ``group_most`` streams through as a star or as marks."""
-    out = _Pairs(percent, group_most, mark)
-    held = [np.zeros(0, np.int64)] * 3
-    centre = None  # (token, class, meta) of a group that is streaming
-    for batch in batches:
-        rows = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-        if len(rows[0]) > 1:
-            new = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
-            rows = [x[new] for x in rows]
-        if centre is not None:
-            n = int(np.searchsorted(rows[0] != centre[0], True)) if len(rows[0]) else 0
-            more = rows[1][:n] != centre[1]
-            out.star(centre[1], centre[2], rows[1][:n][more], rows[2][:n][more])
-            rows = [x[n:] for x in rows]
-            centre = centre if not len(rows[0]) else None
-        last = int(np.argmax(rows[0] == rows[0][-1])) if len(rows[0]) else 0
-        out.groups(*(x[:last] for x in rows))
-        held = [x[last:] for x in rows]
-        if len(held[0]) > max(4096, group_most):
-            centre = (held[0][0], held[1][0], held[2][0])
-            out.star(centre[1], centre[2], held[1][1:], held[2][1:])
-            held = [np.zeros(0, np.int64)] * 3
-        if sum(len(x[0]) for x in out.found) > 100_000 and (found := out.flush()) is not None:
-            yield found
-    out.groups(*held)
-    if (found := out.flush()) is not None:
-        yield found
+            if centre is not None and token[0] == centre[0]:
+                at = at[at > 0]
+            if large or s > group_most:
+                for x in at:
+                    star(key[x], meta[x], key[x + 1 : x + s], meta[x + 1 : x + s])
+                continue
+            for i in range(s):
+                for j in range(i + 1, s):
+                    fit = out.may_link(meta[at + i], meta[at + j])
+                    out.add(key[at + i][fit], meta[at + i][fit], key[at + j][fit], meta[at + j][fit], 1)
+        if centre is not None and len(token) and token[0] == centre[0]:
+            more = key[: size[0]] != centre[1]
+            star(centre[1], centre[2], key[: size[0]][more], meta[: size[0]][more])
+        elif large:
+            centre = (token[0], key[0], meta[0])
+        if out.n > 100_000:
+            yield from out.flush()
+    yield from out.flush()
 
 
 def _verified(batches, percent: int) -> Iterator[pa.RecordBatch]:
@@ -380,25 +505,31 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int, unique: bool) -> DataFrame:
-    """``(id, sets)`` of the documents whose id is in ``ids(id)``; sets are packed hashes. Without ``unique``, rows that repeat an id count once."""
+def _sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame, k: int, unique: bool) -> DataFrame:
+    """``(id, sets)`` of the classes ``names(id)``: the class, and its set as packed hashes, from the first document of each.
+
+    Without ``unique``, rows that repeat a document's id count once.
+    """
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], ["id", "sets"])
+            sets = [*shingle_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(class_keys(sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sets"])
 
-    chosen = _chosen(docs, ids)
+    names = checkpointed(classes.join(names, classes["key"] == names["id"]).select("key", F.col("first").alias("id")))
+    chosen = _chosen(docs, names.select("id").distinct())
     if not unique:
         chosen = chosen.groupBy("id").agg(F.min("text").alias("text"))
     return chosen.mapInArrow(run, "id long, sets binary")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, unique: bool, part_rows: int = 512) -> DataFrame:
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, unique: bool, part_rows: int = 512) -> DataFrame:
     """The pairs ``(a, b)`` that link. The set of a travels once for every ``part_rows`` of its partners."""
-    parts = F.ceil(F.count("*") / part_rows)
-    met = checkpointed(pairs.join(pairs.groupBy("a").agg(parts.alias("parts")), "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b"))
+    total = pairs.count()
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / part_rows).alias("parts"), F.count("*").alias("key_rows"))
+    met = checkpointed(looked_up(pairs, parts, "a", total).select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b"))
     rows = met.select("a", "part", F.col("b").alias("id")).union(met.select("a", "part", "a").distinct())
-    sets = _sets_of(docs, checkpointed(rows.select("id").distinct()), k, unique)
+    sets = _sets_of(docs, classes, rows.select("id").distinct(), k, unique)
     rows = rows.join(sets, "id").select("a", "part", "id", "sets").repartition("a", "part").sortWithinPartitions("a", "part", F.col("id") != F.col("a"))
     return checkpointed(rows.mapInArrow(lambda b: _verified(b, percent), "a long, b long"))
 
@@ -408,25 +539,25 @@ def _clusters(stars: DataFrame) -> DataFrame:
     nodes = stars.select(F.col("b").alias("node"), F.col("nb").alias("n"), "tokens").union(stars.select("a", "na", "tokens"))
     nodes = nodes.groupBy("node").agg(F.max("n").alias("n"), F.max("tokens").alias("tokens"))
     placed = checkpointed(nodes.join(connected_components(stars), "node").withColumnRenamed("component", "cluster"))
-    main = placed.groupBy("cluster").agg(F.max_by("node", F.struct("tokens", "node")).alias("main"))
-    return checkpointed(placed.join(main, "cluster").select("node", "n", "cluster", "main"))
+    main = placed.groupBy("cluster").agg(F.max_by("node", F.struct("tokens", "node")).alias("main"), F.count("*").alias("key_rows"))
+    return checkpointed(looked_up(placed, main, "cluster", placed.count()).select("node", "n", "cluster", "main"))
 
 
-def _cluster_links(docs: DataFrame, clusters: DataFrame, links: DataFrame, k: int, percent: int, unique: bool, block_rows: int, block_tokens: int) -> DataFrame:
+def _cluster_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, links: DataFrame, k: int, percent: int, unique: bool, block_rows: int, block_tokens: int) -> DataFrame:
     """Links within clusters between components of ``links(a, b)``."""
     comp = connected_components(links)
     member = checkpointed(
         clusters.join(comp.withColumnRenamed("component", "comp"), "node", "left").select(F.col("node").alias("id"), "cluster", "n", F.coalesce("comp", "node").alias("comp"))
     )
     each = member.groupBy("cluster", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
-    whole = each.groupBy("cluster").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.max("rows").alias("rows"), F.max("tokens").alias("tokens"), F.sum("rows").alias("all_rows"), F.sum("tokens").alias("all_tokens")).where("comps > 1")
+    whole = each.groupBy("cluster").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.max("rows").alias("rows"), F.max("tokens").alias("tokens"), F.sum("rows").alias("all_rows"), F.sum("tokens").alias("all_tokens"), F.sum("rows").alias("key_rows")).where("comps > 1")
 
     def parts(rows, tokens):
         return F.greatest(F.lit(1), F.ceil(F.greatest(F.col(rows) / block_rows, F.col(tokens) / block_tokens)).cast("long"))
 
     # The members of the main component are compared with others alone: blocks below ``inner`` are theirs.
-    whole = whole.select("cluster", "main", parts("rows", "tokens").alias("inner"), (F.col("all_rows") - F.col("rows")).alias("rows"), (F.col("all_tokens") - F.col("tokens")).alias("tokens"))
-    placed = member.join(whole.select("cluster", "main", "inner", parts("rows", "tokens").alias("outer")), "cluster")
+    whole = whole.select("cluster", "key_rows", "main", parts("rows", "tokens").alias("inner"), (F.col("all_rows") - F.col("rows")).alias("rows"), (F.col("all_tokens") - F.col("tokens")).alias("tokens"))
+    placed = looked_up(member, whole.select("cluster", "key_rows", "main", "inner", parts("rows", "tokens").alias("outer")), "cluster", member.count())
     block = F.when(F.col("comp") == F.col("main"), F.pmod(F.xxhash64("id"), "inner")).otherwise(F.col("inner") + F.pmod(F.xxhash64("id"), "outer"))
     placed = checkpointed(placed.select("cluster", "id", "comp", "inner", "outer", block.alias("block")))
     outside = F.sequence(F.col("inner"), F.col("inner") + F.col("outer") - 1)
@@ -435,7 +566,7 @@ def _cluster_links(docs: DataFrame, clusters: DataFrame, links: DataFrame, k: in
         "cluster", "id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    sets = _sets_of(docs, checkpointed(placed.select("id").distinct()), k, unique)
+    sets = _sets_of(docs, classes, placed.select("id").distinct(), k, unique)
 
     def run(rows: pa.Table) -> pa.Table:
         return _block_links(rows, percent)
@@ -445,14 +576,15 @@ def _cluster_links(docs: DataFrame, clusters: DataFrame, links: DataFrame, k: in
 
 def linked_components(
     docs: DataFrame, k: int, percent: int, candidates, count_frequent: bool = True, unique: bool = True, partition: bool = False,
-    group_most: int = 12, block_rows: int = 512, block_tokens: int = 1 << 19,
+    group_most: int = 12, pairs_most: int = 64, emit_most: int = 6, block_rows: int = 512, block_tokens: int = 1 << 19,
 ) -> DataFrame:
     """``(id, n, component, copies)`` of every row of ``docs(id, text)``: its set's size, its component, and the rows of its class.
 
     ``candidates(table)`` is given the broadcast table of frequent shingles and returns the function
     that makes rows (token, class, ``meta_of``) of batches of ``docs``; classes that share as
     many tokens as they demand are compared. Without ``unique``, many rows may repeat an id and its text.
-    With ``partition``, classes of tokens that many share are compared if they share a partition key.
+    With ``partition``, rows have a sketch too, and classes of tokens that many share are compared if
+    they share a partition key.
     """
     spark = docs.sparkSession
     found = checkpointed(docs.mapInArrow(lambda b: _classes_and_counts(b, k, count_frequent), "kind byte, id long, key long, n long"))
@@ -462,23 +594,26 @@ def linked_components(
     counts = top.column("n").to_numpy().astype(np.float64)[order] if top is not None else np.zeros(0)
     table = spark.sparkContext.broadcast((frequent[order], counts))
     found = found.where("kind = 0").select("id", "key", "n")
-    classes = found.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
-
-    def paired(tokens: DataFrame, mark: bool) -> DataFrame:
-        sorted_rows = tokens.repartition("token").sortWithinPartitions("token", "key")
-        pairs = sorted_rows.mapInArrow(lambda b: _pairs(b, percent, group_most, mark), "a long, b long, need long, shared long")
-        pairs = pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared")).where("shared >= need")
-        for side in ("a", "b"):
-            names = classes.select(F.col("key").alias(side), F.col("first").alias(f"{side}_id"), F.col("n").alias(f"n{side}"))
-            pairs = pairs.join(names, side)
-        return checkpointed(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "na", "nb", F.floor(F.col("shared") / STAR).alias("tokens")))
-
-    pairs = paired(docs.mapInArrow(candidates(table), "token long, key long, meta long"), partition)
+    classes = checkpointed(found.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
+
+    def paired(tokens: DataFrame, pairs) -> DataFrame:
+        sorted_rows = tokens.repartition("token").sortWithinPartitions("token", "meta", "key")
+        met = sorted_rows.mapInArrow(pairs, PAIRS).groupBy("a", "b", "na", "nb").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
+        return checkpointed(met.where("shared >= need").select("a", "b", "na", "nb", F.floor(F.col("shared") / STAR).alias("tokens")))
+
+    def star_pairs(batches):
+        return _star_pairs(batches, percent, group_most)
+
+    rows = docs.mapInArrow(candidates(table), "token long, key long, meta long" + (", sketch binary" if partition else ""))
     if partition:
-        marked, pairs = checkpointed(pairs.where("a = b").select(F.col("a").alias("id"))), pairs.where("a <> b")
+        pairs = paired(rows, lambda b: _prefix_pairs(b, percent, pairs_most, emit_most))
+        marked, pairs = pairs.where("b is null").select(F.col("a").alias("key")), pairs.where("b is not null")
         if not marked.isEmpty():
-            rows = _chosen(docs, marked).mapInArrow(lambda b: _partition_rows(b, k, percent, table.value[0]), "token long, key long, meta long")
-            pairs = checkpointed(pairs.union(paired(rows, False)).groupBy("a", "b", "na", "nb").agg(F.max("tokens").alias("tokens")))
+            chosen = checkpointed(classes.join(marked, "key").select(F.col("first").alias("id")).distinct())
+            rows = _chosen(docs, chosen).mapInArrow(lambda b: _partition_rows(b, k, percent, table.value[0]), "token long, key long, meta long")
+            pairs = checkpointed(pairs.union(paired(rows, star_pairs)).groupBy("a", "b", "na", "nb").agg(F.max("tokens").alias("tokens")))
+    else:
+        pairs = paired(rows, star_pairs)
 
     fit = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("tokens") == 0)
     verify = pairs.where(fit).select("a", "b")
@@ -487,13 +622,15 @@ def linked_components(
     if starry:
         clusters = _clusters(stars)
         verify = verify.union(clusters.where("node <> main").select(F.col("main").alias("a"), F.col("node").alias("b")))
-    links = _verify(docs, verify, k, percent, unique)
+    links = _verify(docs, classes, verify, k, percent, unique)
     if starry:
-        links = checkpointed(links.union(_cluster_links(docs, clusters, links, k, percent, unique, block_rows, block_tokens)))
-    comps = connected_components(links)
-    named = classes.join(comps, classes["first"] == comps["node"], "left").select("key", "copies", F.coalesce("component", "first").alias("component"))
-    out = found.join(named, "key", "left")
-    return out.select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"), F.coalesce("copies", F.lit(1)).alias("copies"))
+        links = checkpointed(links.union(_cluster_links(docs, classes, clusters, links, k, percent, unique, block_rows, block_tokens)))
+    comps = checkpointed(classes.join(connected_components(links).withColumnRenamed("node", "key"), "key"))
+    least = comps.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("key_rows"))
+    named = looked_up(comps, least, "component", comps.count()).select("key", "copies", F.col("least").alias("component"))
+    named = named.union(classes.join(comps, "key", "left_anti").select("key", "copies", "first"))
+    full = looked_up(found.where("n > 0"), named.withColumn("key_rows", F.col("copies")), "key", found.count())
+    return full.select("id", "n", "component", "copies").union(found.where("n = 0").select("id", "n", "id", F.lit(1)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, **settings) -> DataFrame:

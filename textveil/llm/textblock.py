@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 from textveil.llm.common import nulls_to_empty, pieces
 
 BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+#: Longer ranges are hashed by xxhash: sums of powers of one odd base repeat themselves from some thousand bytes on.
+_SUMMED_BYTES = 255
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,7 +79,12 @@ class Block:
         np.cumsum(_BYTE_VALUES[data] * _power_table(_BASE, n)[:n], out=sums[1:])
         inverse = _power_table(pow(_BASE, -1, 1 << 64), n)
         raw = (sums[ends] - sums[starts]) * inverse[starts]
-        return mix(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        out = mix(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        long = np.flatnonzero(ends - starts > _SUMMED_BYTES)
+        if len(long):
+            raw_bytes = memoryview(np.ascontiguousarray(data))
+            out[long] = [xxhash.xxh3_64_intdigest(raw_bytes[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        return out
 
     def points(self) -> np.ndarray:
         """Code points of the block that begin before each byte position."""
@@ -127,6 +134,6 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 
 def totals(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of the values of each text's runs."""
-    sums = np.concatenate([[0], np.cumsum(values)])
+    """Sum of the values of each text's runs: integers, as differences of sums of fractions would depend on the texts before."""
+    sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return sums[first[1:]] - sums[first[:-1]]
