@@ -67,7 +67,7 @@ class Encoding:
 
 
 class Codec:
-    def __init__(self, path: str, leaf_chars: int = 8192, long_chars: int = 32768, memo_words: int = 1 << 18):
+    def __init__(self, path: str, leaf_chars: int = 4096, long_chars: int = 16384, memo_words: int = 1 << 18):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

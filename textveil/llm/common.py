@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,12 +108,8 @@ def shared_folder(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """A table written as Parquet in the shared folder, and read again."""
-    return stored_at(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
-
-
 def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """A table written as Parquet in a folder that all executors share, and read again."""
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

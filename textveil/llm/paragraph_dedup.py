@@ -33,13 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import checkpointed
+from textveil.llm.common import checkpointed, fresh, looked_up
 from textveil.llm.jaccard_join import BROADCAST_IDS, class_keys, linked_components, meta_of, shingle_sets
 from textveil.llm.textblock import blocks, mix, owners, windows
 
-#: Lengths of removals are below this; places pack start and length into one number.
-_LENGTH_BITS = 28
-
 
 def tuned(percent: int = 80, recall: float = 0.99, rows: int = 2) -> int:
     """The least number of bands whose recall at the threshold is ``recall``."""
@@ -108,7 +105,7 @@ def anchors(hashes: np.ndarray, first: np.ndarray, width: int, span: int, distin
 
 
 def _window_rows(batches, width: int, span: int, distinct: int) -> Iterator[pa.RecordBatch]:
-    """Rows (token, doc, place) of anchored windows; place packs start and length in code points."""
+    """Rows (token, doc, start, end) of anchored windows, in code points."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for block in blocks(batch.column(1)):
@@ -119,20 +116,19 @@ def _window_rows(batches, width: int, span: int, distinct: int) -> Iterator[pa.R
                 continue
             owner = owners(first)[at]
             points = block.points()
-            start = points[starts[at]] - points[block.offsets[owner]]
-            length = points[ends[at + width - 1]] - points[starts[at]]
-            fit = length < 1 << _LENGTH_BITS
-            yield pa.RecordBatch.from_arrays([pa.array(value[fit].view(np.int64)), pa.array(ids[block.first + owner[fit]].astype(np.int64)), pa.array(((start << _LENGTH_BITS) | length)[fit])], ["token", "id", "place"])
+            zero = points[block.offsets[owner]]
+            columns = value.view(np.int64), ids[block.first + owner].astype(np.int64), points[starts[at]] - zero, points[ends[at + width - 1]] - zero
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "id", "start", "end"])
 
 
 def _later(batches) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token, document and place: rows (id, place, kept) of all documents but the first of each token.
+    """From rows (token, id, start, end) sorted so: rows (id, start, end, kept) of all documents but the first of each token.
 
     A token's first row is all that is held of it, however many follow.
     """
     lead = (None, None)
     for batch in batches:
-        token, ids, place = (batch.column(i).to_numpy() for i in range(3))
+        token, ids, start, end = (batch.column(i).to_numpy() for i in range(4))
         if not len(token):
             continue
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -142,18 +138,18 @@ def _later(batches) -> Iterator[pa.RecordBatch]:
         keeper = np.repeat(first, np.diff(np.append(begin, len(token))))
         lead = (token[-1], keeper[-1])
         later = keeper != ids
-        yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (ids, place, keeper)], ["id", "place", "kept"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (ids, start, end, keeper)], ["id", "start", "end", "kept"])
 
 
 def _shared(batches) -> Iterator[pa.RecordBatch]:
-    """From rows (token, id, place) sorted so: the rows of tokens that two documents or more hold.
+    """From rows (token, id, start, end) sorted so: the rows of tokens that two documents or more hold.
 
     The first document's rows of a token are all that is held of it.
     """
-    names = ["token", "id", "place"]
+    names = ["token", "id", "start", "end"]
     held, lead = [], (None, None, False)
     for batch in batches:
-        token, ids, place = (batch.column(i).to_numpy() for i in range(3))
+        token, ids, start, end = (batch.column(i).to_numpy() for i in range(4))
         if not len(token):
             continue
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -170,14 +166,14 @@ def _shared(batches) -> Iterator[pa.RecordBatch]:
         if not on or len(begin) > 1:
             held = []
         if not many[-1]:
-            held.append(tuple(x[begin[-1] :].copy() for x in (token, ids, place)))
+            held.append(tuple(x[begin[-1] :].copy() for x in (token, ids, start, end)))
         lead = (token[-1], first[-1], bool(many[-1]))
         chosen = np.repeat(many, runs)
-        yield pa.RecordBatch.from_arrays([pa.array(x[chosen]) for x in (token, ids, place)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(x[chosen]) for x in (token, ids, start, end)], names)
 
 
 def _around_rows(batches, width: int, span: int, distinct: int) -> Iterator[pa.RecordBatch]:
-    """From rows (id, text, hits): rows (token, id, place, left, left_at, right, right_at) of each hit (token, place).
+    """From rows (id, text, hits): rows (token, id, start, end, left, left_at, right, right_at) of each hit (token, start, end).
 
     They reach over ``span - 1`` words, or over all windows beside the hit that were not chosen from.
     ``left`` and ``right`` are 32-bit hashes of the words around a window, outwards; ``left_at`` and
@@ -187,7 +183,7 @@ def _around_rows(batches, width: int, span: int, distinct: int) -> Iterator[pa.R
         ids, hits = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
         bounds = hits.offsets.to_numpy()
         values = hits.values.flatten()
-        tokens, places = values[0].to_numpy(zero_copy_only=False).view(np.uint64), values[1].to_numpy(zero_copy_only=False)
+        tokens, from_, until = values[0].to_numpy(zero_copy_only=False).view(np.uint64), values[1].to_numpy(zero_copy_only=False), values[2].to_numpy(zero_copy_only=False)
         for block in blocks(batch.column(1)):
             starts, ends, first = block.words()
             hashes = block.hashes(starts, ends)
@@ -197,27 +193,27 @@ def _around_rows(batches, width: int, span: int, distinct: int) -> Iterator[pa.R
             window[at] = value
             varied = at[varieties(hashes, width)[at] >= distinct]
             begin, end, short = points[starts], points[ends], (hashes >> np.uint64(32)).astype(np.uint32)
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for d in range(block.n):
                 a, b, row = int(first[d]), int(first[d + 1]), block.first + d
                 zero = points[block.offsets[d]]
-                wanted, place = tokens[bounds[row] : bounds[row + 1]], places[bounds[row] : bounds[row + 1]]
-                found = a + np.searchsorted(begin[a:b], zero + (place >> _LENGTH_BITS))
-                for i, token, where in zip(found.tolist(), wanted, place.tolist(), strict=True):
-                    if i + width > b or window[i] != token or begin[i] != zero + (where >> _LENGTH_BITS):
+                own = slice(bounds[row], bounds[row + 1])
+                found = a + np.searchsorted(begin[a:b], zero + from_[own])
+                for i, token, start, stop in zip(found.tolist(), tokens[own], from_[own].tolist(), until[own].tolist(), strict=True):
+                    if i + width > b or window[i] != token or begin[i] != zero + start:
                         continue  # the place of another row of this id
                     last, k = i + width, int(np.searchsorted(varied, i))
                     before = int(varied[k - 1]) + 1 if k and varied[k - 1] >= a else a
                     after = int(varied[k + 1]) - 1 + width if k + 1 < len(varied) and varied[k + 1] < b else b
                     left, right = slice(max(a, min(i - span + 1, before)), i), slice(last, min(b, max(last + span - 1, after)))
                     cells = (
-                        token.view(np.int64), ids[row], where, short[left][::-1].tobytes(), np.diff(begin[left.start : i + 1])[::-1].astype(np.int32).tobytes(),
+                        token.view(np.int64), ids[row], start, stop, short[left][::-1].tobytes(), np.diff(begin[left.start : i + 1])[::-1].astype(np.int32).tobytes(),
                         short[right].tobytes(), np.diff(end[last - 1 : right.stop]).astype(np.int32).tobytes(),
                     )
                     for column, cell in zip(out, cells, strict=True):
                         column.append(cell)
-            types = [pa.int64()] * 3 + [pa.binary()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["token", "id", "place", "left", "left_at", "right", "right_at"])
+            types = [pa.int64()] * 4 + [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["token", "id", "start", "end", "left", "left_at", "right", "right_at"])
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -229,7 +225,7 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def _extended(batches) -> Iterator[pa.RecordBatch]:
-    """From rows of ``_around_rows`` sorted by token, document and place: rows (id, place, kept) of all documents but the first of each token.
+    """From rows of ``_around_rows`` sorted by token, document and place: rows (id, start, end, kept) of all documents but the first of each token.
 
     A place takes in the words around it that are also around the first document's; that document's
     surroundings, each once, are all that is held of a token.
@@ -237,29 +233,25 @@ def _extended(batches) -> Iterator[pa.RecordBatch]:
     token, keeper, kept = None, None, {}
     for batch in batches:
         out = []
-        for t, i, place, left, left_at, right, right_at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for t, i, start, end, left, left_at, right, right_at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if t != token:
                 token, keeper, kept = t, i, {}
             if i == keeper:
                 kept[left, right] = None
                 continue
-            start, length = place >> _LENGTH_BITS, place & ((1 << _LENGTH_BITS) - 1)
             for before, after in kept:
                 n, m = _common(left, before), _common(right, after)
                 ahead, behind = (int(np.frombuffer(x[: 4 * c], np.int32).sum(dtype=np.int64)) for x, c in ((left_at, n), (right_at, m)))
-                out.append((i, (start - ahead) << _LENGTH_BITS | min(length + ahead + behind, (1 << _LENGTH_BITS) - 1), keeper))
-        out = sorted(set(out))
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], ["id", "place", "kept"])
+                out.append((i, start - ahead, end + behind, keeper))
+        yield _spans(sorted(set(out)))
 
 
 def _merged(batches) -> Iterator[pa.RecordBatch]:
-    """From rows (id, place, kept) sorted by id and place: overlapping or touching places of a document as one row."""
+    """From rows (id, start, end, kept) sorted so: overlapping or touching places of a document as one row."""
     held = None
     for batch in batches:
         out = []
-        for i, place, kept in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            start = place >> _LENGTH_BITS
-            end = start + (place & ((1 << _LENGTH_BITS) - 1))
+        for i, start, end, kept in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
             if held is not None and held[0] == i and start <= held[2] + 1:
                 held = (i, held[1], max(end, held[2]), min(kept, held[3]))
             else:
@@ -274,7 +266,7 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _line_rows(batches, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows (line, id, place) of lines of at least ``min_words`` words; ``line`` is the xxhash64 of the line, as Spark has it."""
+    """Rows (line, id, start, end) of lines of at least ``min_words`` words; ``line`` is the xxhash64 of the line, as Spark has it."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for block in blocks(batch.column(1)):
@@ -286,9 +278,9 @@ def _line_rows(batches, min_words: int) -> Iterator[pa.RecordBatch]:
             points = block.points()
             raw = block.data.tobytes()
             names = np.array([xxhash.xxh64_intdigest(raw[a:b], seed=42) for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)], dtype=np.uint64)
-            start = points[begin[long]] - points[block.offsets[owner[long]]]
-            length = np.minimum(points[end[long]] - points[begin[long]], (1 << _LENGTH_BITS) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(ids[block.first + owner[long]].astype(np.int64)), pa.array((start << _LENGTH_BITS) | length)], ["line", "id", "place"])
+            zero = points[block.offsets[owner[long]]]
+            columns = names.view(np.int64), ids[block.first + owner[long]].astype(np.int64), points[begin[long]] - zero, points[end[long]] - zero
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["line", "id", "start", "end"])
 
 
 def repeated_passages(
@@ -302,39 +294,52 @@ def repeated_passages(
     lines = lines.where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words).select(F.xxhash64("text").alias("id"), "text")
     comps = linked_components(lines, k, percent, lambda table: lambda b: _band_rows(b, k, bands, rows), count_frequent=False, unique=False)
     comps = checkpointed(comps.select(F.col("id").alias("line"), "component", "copies").distinct())
-    many = comps.where("component <> line or copies > 1").select("component").distinct()
-    shared = checkpointed(comps.join(many, "component").select("line", "component"))
+    many = comps.groupBy("component").agg(F.count("*").alias("key_rows"), F.max("copies").alias("most")).where("key_rows > 1 or most > 1").drop("most")
+    shared = checkpointed(looked_up(comps, many, "component", comps.count()).select("line", "component"))
     few = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    places = docs.mapInArrow(lambda b: _line_rows(b, min_words), "line long, id long, place long").join(F.broadcast(shared) if few else shared, "line")
-    tokens = docs.mapInArrow(lambda b: _window_rows(b, width, span, distinct), "token long, id long, place long")
-    hits = tokens.repartition("token").sortWithinPartitions("token", "id", "place").mapInArrow(_shared, "token long, id long, place long")
-    hits = hits.groupBy("id").agg(F.collect_list(F.struct("token", "place")).alias("hits"))
-    around = docs.join(hits, "id").select("id", "text", "hits").mapInArrow(lambda b: _around_rows(b, width, span, distinct), "token long, id long, place long, left binary, left_at binary, right binary, right_at binary")
-    later = around.repartition("token").sortWithinPartitions("token", "id", "place").mapInArrow(_extended, "id long, place long, kept long")
-    lines = places.select(F.xxhash64("component").alias("token"), "id", "place").repartition("token").sortWithinPartitions("token", "id", "place")
-    later = later.union(lines.mapInArrow(_later, "id long, place long, kept long"))
-    spans = later.repartition("id").sortWithinPartitions("id", "place").mapInArrow(_merged, "id long, start long, end long, kept long")
+    place = "id long, start long, end long"
+    order = ["token", "id", "start", "end"]
+    places = docs.mapInArrow(lambda b: _line_rows(b, min_words), f"line long, {place}").join(F.broadcast(shared) if few else shared, "line")
+    tokens = docs.mapInArrow(lambda b: _window_rows(b, width, span, distinct), f"token long, {place}")
+    hits = tokens.repartition("token").sortWithinPartitions(*order).mapInArrow(_shared, f"token long, {place}")
+    hits = hits.groupBy("id").agg(F.collect_list(F.struct("token", "start", "end")).alias("hits"))
+    around = docs.join(hits, "id").select("id", "text", "hits").mapInArrow(lambda b: _around_rows(b, width, span, distinct), f"token long, {place}, left binary, left_at binary, right binary, right_at binary")
+    later = around.repartition("token").sortWithinPartitions(*order).mapInArrow(_extended, f"{place}, kept long")
+    lines = places.select(F.xxhash64("component").alias("token"), "id", "start", "end").repartition("token").sortWithinPartitions(*order)
+    later = later.union(lines.mapInArrow(_later, f"{place}, kept long"))
+    spans = later.repartition("id").sortWithinPartitions("id", "start", "end").mapInArrow(_merged, f"{place}, kept long")
     return spans.select(F.col("id").alias(id_col), "start", "end", F.col("kept").alias("kept_id"))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """A text without spans (disjoint, in order); what is left of a line that was cut out whole goes with it."""
-    out, at = [], 0
+    """A text without spans (disjoint, in order). A line that a cut leaves without words goes, too; all other lines stay as they are."""
+    out, at, seams = [], 0, []
     for start, end in spans:
         out.append(text[at:start])
+        seams.append(start - at + (seams[-1] if seams else 0))
         at = end
     out.append(text[at:])
-    return "\n".join(line for line in "".join(out).split("\n") if line.strip())
+    kept, begin, s = [], 0, 0
+    for line in "".join(out).split("\n"):
+        seamed = s < len(seams) and seams[s] <= begin + len(line)
+        while s < len(seams) and seams[s] <= begin + len(line):
+            s += 1
+        if not seamed or line.strip():
+            kept.append(line)
+        begin += len(line) + 1
+    return "\n".join(kept)
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **settings) -> DataFrame:
-    """``docs`` without the passages that earlier documents hold; a document of which nothing is left goes.
+    """``docs`` without the passages that earlier documents hold; a document of which no word is left goes.
 
     ``length_col``, if there, is set to the new length. Rows that nothing is removed from are unchanged.
     """
     found = repeated_passages(docs, id_col, text_col, **settings)
-    gathered = found.groupBy(F.col(id_col).alias("_removal_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_removals"))
-    joined = docs.join(gathered, docs[id_col] == gathered["_removal_id"], "left").drop("_removal_id")
+    key = fresh("removal_id", docs.columns)
+    removed = fresh("removals", [*docs.columns, key])
+    gathered = found.groupBy(F.col(id_col).alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(removed))
+    joined = docs.join(gathered, docs[id_col] == gathered[key], "left").drop(gathered[key])
     names = list(docs.columns)
     at, n = names.index(text_col), names.index(length_col) if length_col in names else None
 
@@ -355,7 +360,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     columns[n] = pa.array(lengths, columns[n].type)
             out = pa.RecordBatch.from_arrays(columns, names)
             gone = np.zeros(len(removals), dtype=bool)
-            gone[[i for i in hit if not texts[i]]] = True
+            gone[[i for i in hit if not texts[i].strip()]] = True
             yield out.filter(pc.invert(pa.array(gone)))
 
     return joined.mapInArrow(run, docs.schema)

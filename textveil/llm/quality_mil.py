@@ -6,11 +6,13 @@ its words' beginnings and ends. A hidden layer turns this into h; gated attentio
 text of w . (tanh(V h) * sigmoid(U h)), weighs its passages; the weighted sum is scored by a logistic
 unit. All of it is learned together, from labels of whole documents, by Adam on a sample that
 ``per_label`` and ``max_chars`` bound. The output is then calibrated on the part of the sample that
-was not trained on.
+was not trained on. Scoring works on multiples of powers of two, small enough that doubles hold all
+products and sums exactly; so a score depends on the text alone, not on the order of a sum, which
+matrix products choose by how many rows they get.
 
 Defined results: every text has a score from 0 to 1; a null or empty text is one passage without
 words. Without labels of both kinds, every score is the share of label 1 among those there are, 0.5
-if none. Rows are judged alone, so ties and repeated rows get equal results; an empty table gives an
+if none. Rows are judged alone, so ties and repeated rows get equal scores, whatever rows are beside them; an empty table gives an
 empty table; other columns are not read.
 """
 
@@ -135,6 +137,23 @@ def forward(x: np.ndarray, bag: np.ndarray, p: dict[str, np.ndarray]) -> tuple[n
     return z @ p["c"] + p["d"], {"h": h, "t": t, "g": g, "a": a, "z": z, "owner": owner}
 
 
+def fixed(x: np.ndarray, bits: int, most: float = 16.0) -> np.ndarray:
+    """The nearest multiples of ``2**-bits``, from -most to most."""
+    return np.rint(np.clip(x, -most, most) * 2.0**bits) / 2.0**bits
+
+
+def logits(x: np.ndarray, bag: np.ndarray, model: BagModel) -> np.ndarray:
+    """Logits of the bags as ``forward`` has them, up to rounding, from sums that are exact in any order (below 2**53 units)."""
+    p = {k: fixed(v, 16) for k, v in model.layers.items()}
+    h = fixed(np.tanh(fixed((x - model.mean) / model.spread, 12, 32.0) @ p["W"] + p["b"]), 16)
+    e = fixed(np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"]))), 16) @ p["w"]
+    owner = np.repeat(np.arange(len(bag) - 1), np.diff(bag))
+    e = fixed(np.exp(e - np.maximum.reduceat(e, bag[:-1])[owner]), 30)
+    a = fixed(e / np.add.reduceat(e, bag[:-1])[owner], 30)
+    z = fixed(np.add.reduceat(a[:, None] * h, bag[:-1], axis=0), 20)
+    return z @ p["c"] + p["d"]
+
+
 def backward(x: np.ndarray, kept: dict[str, np.ndarray], p: dict[str, np.ndarray], slope: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the sum of ``slope * logit``."""
     h, t, g, a, z, owner = (kept[k] for k in ("h", "t", "g", "a", "z", "owner"))
@@ -179,10 +198,10 @@ def fit(sample: list[tuple[str, int]], settings: BagSettings | None = None) -> B
                 first[k] = 0.9 * first[k] + 0.1 * grad
                 second[k] = 0.999 * second[k] + 0.001 * grad**2
                 p[k] = p[k] - s.rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    model.layers = {k: np.asarray(v, dtype=np.float32) for k, v in p.items()}
-    model.mean, model.spread = model.mean.astype(np.float32), model.spread.astype(np.float32)
+    model.layers = {k: np.asarray(v) for k, v in p.items()}
     rest = ~train if len(set(y[~train])) == 2 else train
-    model.calibration = _calibrate(forward(x, bag, p)[0][rest], y[rest], weight[rest])
+    scored = np.concatenate([logits(*q, model) for q in parts])
+    model.calibration = _calibrate(scored[rest], y[rest], weight[rest])
     return model
 
 
@@ -200,8 +219,7 @@ def score_block(block: Block, model: BagModel) -> np.ndarray:
     if model.constant is not None:
         return np.full(block.n, model.constant)
     x, bag = encode(block, model.settings)
-    logit, _ = forward((x - model.mean) / model.spread, bag, model.layers)
-    return 1 / (1 + np.exp(-np.clip(model.calibration[0] * logit.astype(np.float64) + model.calibration[1], -40, 40)))
+    return 1 / (1 + np.exp(-np.clip(model.calibration[0] * logits(x, bag, model) + model.calibration[1], -40, 40)))
 
 
 def fit_bags(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: BagSettings | None = None) -> BagModel:

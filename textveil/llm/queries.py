@@ -45,7 +45,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 def op2_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_quality_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,19 +127,20 @@ def list_events(captures: DataFrame) -> DataFrame:
     for 60 days, a quarter again after 120; one in two domains of two labels is blocked, one in seven
     hosts is on the allow list.
     """
-    hosts = captures.select(host_of(F.col("url")).alias("key")).where("key is not null").distinct()
-    domains = hosts.select(F.regexp_extract("key", r"([^.]+\.[^.]+)$", 1).alias("key")).where("key <> ''").distinct()
-    number = F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long")
+    domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    hosts = captures.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    keys = hosts.select(F.explode(F.array(F.struct(F.col("host").alias("key"), F.lit(True).alias("exact")), F.struct(F.nullif(domain, F.lit("")).alias("key"), F.lit(False).alias("exact")))).alias("k"))
+    keys = keys.select("k.*").where("key is not null").distinct().withColumn("number", F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long"))
     first = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("number") % 200).cast("int"))
 
-    def events(keys: DataFrame, name: str, exact: bool, chosen: str, action: str, days: int) -> DataFrame:
-        return keys.withColumn("number", number).where(chosen).select(F.lit(name).alias("list"), "key", F.lit(exact).alias("exact"), F.lit(action).alias("action"), F.date_add(first, days).alias("effective_at"))
+    def event(name: str, chosen: str, action: str, days: int):
+        return F.when(F.expr(chosen), F.struct(F.lit(name).alias("list"), F.lit(action).alias("action"), F.date_add(first, days).alias("effective_at")))
 
-    out = events(hosts, "block", True, "number % 3 = 0", "add", 0)
-    out = out.union(events(hosts, "block", True, "number % 3 = 0 and number % 2 = 0", "remove", 60))
-    out = out.union(events(hosts, "block", True, "number % 3 = 0 and number % 4 = 0", "add", 120))
-    out = out.union(events(domains, "block", False, "number % 2 = 0", "add", 30))
-    return out.union(events(hosts, "allow", True, "number % 7 = 0", "add", 10))
+    events = F.array(
+        event("block", "exact and number % 3 = 0", "add", 0), event("block", "exact and number % 3 = 0 and number % 2 = 0", "remove", 60),
+        event("block", "exact and number % 3 = 0 and number % 4 = 0", "add", 120), event("block", "not exact and number % 2 = 0", "add", 30), event("allow", "exact and number % 7 = 0", "add", 10),
+    )
+    return keys.select("key", "exact", F.explode(F.array_compact(events)).alias("e")).select("e.list", "key", "exact", "e.action", "e.effective_at")
 
 
 def op8_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

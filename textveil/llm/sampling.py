@@ -16,7 +16,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
 
     The choice goes by a hash of the id. Only texts of up to ``max_chars`` characters are for fitting,
     which bounds the driver's memory; scoring has no such bound. An id with several labels has the
-    largest; rows with a null id, label or text are left out.
+    largest, one with several texts the least; rows with a null id, label or text are left out.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null")
     known = known.where(~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
@@ -25,6 +25,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.union(p)
-    rows = texts.join(F.broadcast(chosen), "id").collect()  # the limits bound what is broadcast
-    rows = sorted({(r.id, r.text, r.label) for r in rows})
-    return [(text, k) for _, text, k in rows][: 2 * sum(most.values())]
+    # The limits bound what is broadcast, and a text for each id what is collected.
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.label) for r in sorted(rows, key=lambda r: r.id)]

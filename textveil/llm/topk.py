@@ -8,9 +8,13 @@ plus the product of the lengths of what remains, bounds the score, and only vect
 reaches the threshold are multiplied out, in integers held exactly by doubles.
 
 Queries are a stated set and go in blocks of ``query_block`` rows, each broadcast (its size is that
-constant times the width); all candidate vectors stay where they were read. A task walks chunks of
-its vectors, starting from thresholds that the longest ``seeds`` vectors of the table set, and
-returns k rows a query at most; the answers of all tasks are merged by query.
+constant times the width). The longest ``seeds`` vectors of the table set each query's threshold, and
+from the thresholds follows the least length that a block's scan needs at all. With several blocks the
+vectors are written once, in descending length over the whole table, to the shared folder, so that
+files and row groups of shorter vectors are skipped; a block's answers are then stored and its
+broadcast is released before the next. A task walks chunks of its vectors in descending length and
+returns k rows a query at most; the answers of all tasks are merged by query, in two steps of bounded
+lists.
 
 The rotation only has to be orthogonal, so a bounded sample of ``rotation_sample`` vectors serves it;
 the results do not depend on it.
@@ -18,12 +22,13 @@ the results do not depend on it.
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, as
 queries or candidates. Equal scores go to the smaller id; repeated rows with one id are one candidate
 each and a query is never its own candidate, by id. Fewer than k candidates give fewer rows. A table
-without queries or candidates gives an empty table. Other columns are not read. All vectors must have
-one width, else an error is raised.
+without queries or candidates gives an empty table. Other columns are not read. Vectors of another
+width than most of the table's have (the least of the commonest) take no part, either.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textveil.llm.common import checkpointed, shared_folder, stored_at
+
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``(id, v)``: components as floor(scale * x), of vectors that are whole and finite."""
@@ -71,6 +78,12 @@ class Search:
         self.floor = np.maximum(self.floor, floors)
         return self
 
+    def least_square(self) -> int:
+        """The least squared length of a vector that can matter to any query."""
+        positive = self.floor > 0
+        ratio = np.where(positive, self.floor / np.where(positive, np.maximum(self.length, 1e-300), 1.0), 0.0)
+        return int(np.square(ratio.min()) * (1 - 1e-9)) if len(ratio) else 0
+
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Walk a chunk of candidates in descending length."""
         if not len(ids) or not len(self.ids):
@@ -127,21 +140,32 @@ def top_k(
     """``(query_id, rank, vec_id, score)``: the k candidates of ``vectors`` of largest inner product with each row of ``queries``."""
     spark = vectors.sparkSession
     base, asked = quantised(vectors, id_col, vector_col, scale), quantised(queries, id_col, vector_col, scale)
+    width = base.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    if width is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
-    longest = base.withColumn("square", square).orderBy(F.desc("square"), "id").limit(seeds).select("id", "v").toArrow()
+    base, asked = (x.where(F.size("v") == width.width).withColumn("square", square) for x in (base, asked))
+    longest = base.orderBy(F.desc("square"), "id").limit(seeds).select("id", "v").toArrow()
     sample = _matrix(base.limit(rotation_sample).toArrow().column("v"))
     schema = "query_id long, vec_id long, score long"
-    if not len(longest):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rotation = rotation_of(sample)
     head = min(head, rotation.shape[1])
     seed_ids, seed_vectors = longest.column("id").to_numpy(), _matrix(longest.column("v"))
 
+    n = asked.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    several = n > query_block
+    if several:  # each block scans the table, so it pays to write it in order once
+        ordered = base.repartitionByRange(F.desc("square")).sortWithinPartitions(F.desc("square"))
+        base = stored_at(ordered, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+
     def answers(block: pa.Table) -> DataFrame:
         ids, matrix = block.column("id").to_numpy(), _matrix(block.column("v"))
         seeded = Search(ids, matrix, rotation, head, k)
         seeded.add(seed_ids, seed_vectors)
         shared = spark.sparkContext.broadcast((ids, matrix, rotation, seeded.floor))
+        reached = base.where(F.col("square") >= seeded.least_square()).select("id", "v")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix, rotation, floors = shared.value
@@ -156,17 +180,25 @@ def top_k(
             rows = [(int(q), i, s) for q, best in zip(ids, search.best, strict=True) for s, i in best]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
-        return base.mapInArrow(run, schema)
+        out = reached.mapInArrow(run, schema)
+        if several:
+            out = checkpointed(out)
+            shared.unpersist()
+        return out
 
     found = None
-    for block in _query_blocks(asked, query_block):
+    for block in _query_blocks(asked.select("id", "v"), n, query_block):
         more = answers(block)
         found = more if found is None else found.union(more)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # Each task sends k rows a query at most; ranks need no window over more than these.
-    best = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("best"))
-    best = best.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("pos", "hit"))
+
+    def first(hits):
+        return F.slice(F.array_sort(hits), 1, k)
+
+    # Each task sends k rows a query at most; tasks are merged by number first, so that no list grows with all of them.
+    hit = F.struct((-F.col("score")).alias("minus"), "vec_id")
+    part = found.groupBy("query_id", (F.spark_partition_id() % 64).alias("part")).agg(first(F.collect_list(hit)).alias("best"))
+    best = part.groupBy("query_id").agg(first(F.flatten(F.collect_list("best"))).alias("best"))
+    best = best.select("query_id", F.posexplode("best").alias("pos", "hit"))
     return best.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
 
 
@@ -176,11 +208,8 @@ def _add(search: Search, held: list[pa.RecordBatch]) -> None:
         search.add(rows.column("id").to_numpy(), _matrix(rows.column("v")))
 
 
-def _query_blocks(asked: DataFrame, most: int) -> Iterator[pa.Table]:
-    """The queries in blocks of at most ``most`` rows, by ranges of their ids; one block is on the driver at a time."""
-    n = asked.count()
-    if not n:
-        return
+def _query_blocks(asked: DataFrame, n: int, most: int) -> Iterator[pa.Table]:
+    """The n queries in blocks of at most ``most`` rows, by ranges of their ids; one block is on the driver at a time."""
     parts = -(-n // (most // 2))
     edges = asked.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
     edges = sorted({int(e) for e in edges})

@@ -12,7 +12,7 @@ The sample (``labelled_sample``) is bounded by ``toxic_docs``, ``clean_docs`` an
 
 Defined results: a null or empty text has no word, no span, and the score of a text without
 suspicion. Without labels of both kinds, every score is the share of label 1 among those there are,
-0.0 if none. Rows are judged alone, so ties and repeated rows get equal results; an empty table gives
+0.0 if none. Rows are judged alone, so ties and repeated rows get equal scores, whatever rows are beside them; an empty table gives
 an empty table; other columns are not read (scoring) or pass through unchanged (filtering).
 """
 
@@ -37,8 +37,8 @@ _STOP[list(b".!?\n")] = True
 
 @dataclass(frozen=True)
 class FieldSettings:
-    toxic_docs: int = 600
-    clean_docs: int = 1200
+    toxic_docs: int = 1500
+    clean_docs: int = 3000
     max_chars: int = 32768
     bits: int = 18
     longest: int = 128
@@ -81,6 +81,10 @@ class Tokens:
         self.begin = np.flatnonzero(begins)
         self.length = np.diff(np.append(self.begin, n))
 
+    def owners(self, base: int) -> np.ndarray:
+        """The text of each word, counted from ``base``."""
+        return base + np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
 
 def emissions(tokens: Tokens, model: FieldModel) -> np.ndarray:
     out = np.full(len(tokens.starts), model.bias)
@@ -112,10 +116,13 @@ def marginals(tokens: Tokens, model: FieldModel) -> np.ndarray:
 
 
 def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One, the logarithm of the expected number of toxic words, and the largest marginal."""
+    """One, the logarithm of the expected number of toxic words, and the largest marginal.
+
+    Probabilities are summed as integers, in units of 2**-40, so that other texts of the block change nothing.
+    """
     n = len(first) - 1
     out = np.ones((n, 3))
-    out[:, 1] = np.log(totals(p, first) + 1e-4)
+    out[:, 1] = np.log(totals(np.rint(p * 2.0**40).astype(np.int64), first) / 2.0**40 + 1e-4)
     out[:, 2] = 0
     full = np.flatnonzero(np.diff(first) > 0)
     if len(full):
@@ -124,10 +131,9 @@ def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _bound(values: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Values whose documents are toxic far more often than others are, by a likelihood-ratio test."""
-    once = np.unique(mix(values ^ mix(owner.astype(np.uint64))), return_index=True)[1]
-    value, at = np.unique(values[once], return_inverse=True)
-    bad = np.bincount(at, weights=toxic[owner[once]], minlength=len(value))
+    """Values whose documents are toxic far more often than others are, by a likelihood-ratio test. A document has a value once."""
+    value, at = np.unique(values, return_inverse=True)
+    bad = np.bincount(at, weights=toxic[owner], minlength=len(value))
     good = np.bincount(at, minlength=len(value)) - bad
     n1, n0 = max(toxic.sum(), 1), max(len(toxic) - toxic.sum(), 1)
     rate = (bad + good) / (n1 + n0)
@@ -141,6 +147,29 @@ def _bound(values: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarr
     return value[(odds > 2.5) & (ratio > 18.0) & (bad >= 3)]
 
 
+def _bound_words(held: list[Block], settings: FieldSettings, y: np.ndarray, chosen: np.ndarray) -> list[np.ndarray]:
+    """The words, and the word beginnings, that are bound to the toxic ones of the chosen documents."""
+    number = np.cumsum(chosen) - 1
+    values, owners = [[], []], [[], []]
+    for block in held:
+        t = Tokens(block, settings)
+        owner = t.owners(block.first)
+        inside = chosen[owner]
+        own = number[owner[inside]]
+        for i, value in enumerate((t.word[inside], t.head[inside])):
+            once = np.unique(mix(value ^ mix(own.astype(np.uint64))), return_index=True)[1]
+            values[i].append(value[once])
+            owners[i].append(own[once])
+    return [_bound(np.concatenate(v), np.concatenate(o), y[chosen]) for v, o in zip(values, owners, strict=True)]
+
+
+def _taken(t: Tokens, chosen: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features and labels of the words of the chosen sequences, and the sequences' lengths."""
+    length = t.length[chosen]
+    at = np.repeat(t.begin[chosen] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    return [f[at].astype(np.int32) for f in t.features], label[at], length
+
+
 def _fit_document(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
     """Logistic regression with a small penalty, by Newton steps."""
     w = np.zeros(x.shape[1])
@@ -158,48 +187,45 @@ def fit(sample: list[tuple[str, int]], settings: FieldSettings | None = None) ->
     if len(set(y)) < 2:
         model.constant = float(y.mean()) if len(y) else 0.0
         return model
-    held = [(b.first, Tokens(b, settings)) for b in blocks(pa.array([t for t, _ in sample], pa.string()))]
+    # Texts are cut into words again for each pass, block by block, so only what training takes is held.
+    held = [*blocks(pa.array([t for t, _ in sample], pa.string()))]
     first_half = np.arange(len(y)) % 2 == 0 if len(y) >= 400 else np.ones(len(y), dtype=bool)
-
-    def of(name):
-        return np.concatenate([getattr(t, name) for _, t in held])
-
-    owner = np.concatenate([f + np.repeat(np.arange(len(t.first) - 1), np.diff(t.first)) for f, t in held])
-    word, head = of("word"), of("head")
-    inside = first_half[owner]
-    number = np.cumsum(first_half) - 1
-    label = np.zeros(len(word), dtype=bool)
-    for values in (word, head):
-        label |= np.isin(values, _bound(values[inside], number[owner[inside]], y[first_half]))
-    label &= (y[owner] == 1) & inside
+    bound = _bound_words(held, settings, y, first_half)
 
     # Sequences to train on: all with a toxic word, and twelve clean ones for each.
-    features, begin, length, base = [], [], [], 0
-    for _, t in held:
-        begin.append(t.begin + base)
-        length.append(t.length)
-        base += len(t.starts)
-    features = [np.concatenate([t.features[i] for _, t in held]) for i in range(3)]
-    begin, length = np.concatenate(begin), np.concatenate(length)
-    hit = np.add.reduceat(label, begin) > 0 if len(begin) else np.zeros(0, dtype=bool)
-    clean = np.flatnonzero(~hit & inside[begin] & (y[owner[begin]] == 0))
-    draw = np.argsort(mix(clean.astype(np.uint64)))[: max(4000, 12 * hit.sum())]
-    chosen = np.concatenate([np.flatnonzero(hit), clean[draw]])
-    take = np.concatenate([np.arange(begin[i], begin[i] + length[i]) for i in chosen]) if len(chosen) else np.zeros(0, np.int64)
-    target = label[take].astype(float)
-    features = [f[take] for f in features]
-    length = length[chosen]
+    hits, clean, base = [], [], 0
+    for block in held:
+        t = Tokens(block, settings)
+        owner = t.owners(block.first)
+        label = (np.isin(t.word, bound[0]) | np.isin(t.head, bound[1])) & (y[owner] == 1) & first_half[owner]
+        hit = np.add.reduceat(label, t.begin) > 0 if len(t.begin) else np.zeros(0, dtype=bool)
+        hits.append(_taken(t, np.flatnonzero(hit), label))
+        clean.append(base + np.flatnonzero(~hit & first_half[owner[t.begin]] & (y[owner[t.begin]] == 0)))
+        base += len(t.begin)
+    clean = np.concatenate(clean)
+    n_hits = sum(len(h[2]) for h in hits)
+    drawn = np.sort(clean[np.argsort(mix(clean.astype(np.uint64)))[: max(4000, 12 * n_hits)]])
+    base = 0
+    for block in held:
+        t = Tokens(block, settings)
+        own = drawn[np.searchsorted(drawn, base) : np.searchsorted(drawn, base + len(t.begin))] - base
+        hits.append(_taken(t, own, np.zeros(len(t.starts), dtype=bool)))
+        base += len(t.begin)
+    features = [np.concatenate([h[0][i] for h in hits]) for i in range(3)]
+    target = np.concatenate([h[1] for h in hits]).astype(float)
+    length = np.concatenate([h[2] for h in hits])
+    del hits
     begin = np.cumsum(length) - length
-    inner = np.ones(len(take), dtype=bool)
+    inner = np.ones(len(target), dtype=bool)
     inner[begin] = False
     inner = np.flatnonzero(inner)
     state = target.astype(int)
     seen_moves = np.zeros((2, 2))
     np.add.at(seen_moves, (state[inner - 1], state[inner]), 1)
     squares, bias_square, move_squares = np.full(len(model.weights), 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    n = max(len(take), 1)
+    n = max(len(target), 1)
     for _ in range(settings.rounds):
-        s = np.full(len(take), model.bias)
+        s = np.full(len(target), model.bias)
         for f in features:
             s += model.weights[f]
         forward, backward = log_odds(s, begin, length, model.moves)
@@ -217,7 +243,11 @@ def fit(sample: list[tuple[str, int]], settings: FieldSettings | None = None) ->
         move_squares += g**2
         model.moves += 0.1 * settings.rate * g / np.sqrt(move_squares)
     model.weights = model.weights.astype(np.float32)
-    x = np.concatenate([document_features(marginals(t, model), t.first) for _, t in held])
+    x = []
+    for block in held:
+        t = Tokens(block, settings)
+        x.append(document_features(marginals(t, model), t.first))
+    x = np.concatenate(x)
     rest = ~first_half if (~first_half).any() else first_half
     model.document = _fit_document(x[rest], y[rest])
     return model
@@ -230,7 +260,8 @@ def score_block(block: Block, model: FieldModel, spans: bool = True) -> tuple[np
         return np.full(block.n, model.constant), [[] for _ in range(block.n)]
     p = marginals(tokens, model)
     x = document_features(p, tokens.first)
-    scores = 1 / (1 + np.exp(-np.clip(x @ model.document, -40, 40)))
+    logit = x[:, 0] * model.document[0] + x[:, 1] * model.document[1] + x[:, 2] * model.document[2]  # a matrix product may depend on how many rows there are
+    scores = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
     found: list[list[dict]] = [[] for _ in range(block.n)]
     hot = np.flatnonzero(p > model.settings.span_threshold) if spans else []
     if len(hot):
