@@ -11,6 +11,8 @@ the rows and texts of the whole pipeline with a plain version of it.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,8 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline over the table ``documents``; what each stage returns is a table in the shared folder."""
+    """The pipeline over the table ``documents``; what each stage returns is a table in the shared folder, which goes when the next one is there."""
     docs = common.spread(common.table(spark, sf_dir, "documents"), "doc_id")
+    folder, before = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = f"{folder}/{name}"
+        docs = common.stored_at(stage(spark, docs, sf_dir), path)
+        if before is not None:
+            common.deleted(spark, before)
+        before = path
     return docs

@@ -52,6 +52,20 @@ def test_maps_are_stored_by_run(spark, tmp_path):
     assert sorted(r.restored for r in restored_by_run(replies, str(tmp_path / "maps"), "absent").collect()) == ["", f"{A}{B}", f"to {A}"]
     with pytest.raises(ValueError):
         restored_by_run(replies, str(tmp_path / "maps"), "")
+    assert load_map(spark, str(tmp_path / "none yet"), "r1").count() == 0
+    assert restored_by_run(replies, str(tmp_path / "none yet"), "r1").where(F.col("restored") == f"to {A}").count() == 1
+
+
+def test_replies_keep_their_own_originals(spark, tmp_path):
+    """However often and in whatever order the replies are read: their order of arrival is no key."""
+    names = [(f"r{i % 3}", f"name {i}", f"PSEUDO_{i:012x}") for i in range(300)]
+    save_map(spark.createDataFrame(names, MAP), str(tmp_path / "maps"))
+    texts = [(f"{i}: PSEUDO_{i:012x}, PSEUDO_{(i * 7) % 300:012x}",) for i in range(300)]
+    replies = spark.createDataFrame(texts, "text string").repartition(7).orderBy(F.rand())
+    for r in restored_by_run(replies, str(tmp_path / "maps"), "r1").collect():
+        i = int(r.text.split(":")[0])
+        j = (i * 7) % 300
+        assert r.restored == f"{i}: " + ", ".join(f"name {x}" if x % 3 == 1 else f"PSEUDO_{x:012x}" for x in (i, j))
 
 
 def test_map_of_values(spark):
@@ -77,6 +91,16 @@ def test_analysis(spark, tmp_path):
     assert '"error":null' in as_json(stored, "run_id").first().report
 
 
+def test_texts_are_stripped_and_empty_ones_refused(spark, tmp_path):
+    docs = spark.createDataFrame([("r1", "  mail a@b.co \n"), ("r2", " \t\x1c"), ("r3", None)], "run_id string, text string")
+    got = {r.run_id: r for r in analyze(docs).collect()}
+    assert got["r1"].ok and (got["r1"].detections[0].start, got["r1"].anonymized_text[:5], got["r1"].anonymized_text[-1]) == (5, "mail ", got["r1"].anonymized_text.strip()[-1])
+    for r in (got["r2"], got["r3"]):
+        assert (r.ok, r.error, r.message, r.detections, r.anonymized_text, r.llm_text, r.validation) == (False, "Empty text input", None, None, None, None, None)
+    assert listing(analyze(docs)).count() == 1
+    assert "regexp_extract_all" not in str(analyze(docs).where("ok").select("run_id")._jdf.queryExecution().optimizedPlan())
+
+
 def test_row_and_join_validation_agree(spark):
     docs = spark.createDataFrame(TEXTS, "run_id string, text string")
     live = Live("https://example.org/v1", "k", send=lambda url, headers, payload, timeout: {"choices": [{"message": {"content": payload["messages"][1]["content"] + " "}}]})
@@ -99,7 +123,7 @@ def test_live_replies():
     def broken(*_):
         raise OSError("down")
 
-    assert Live("https://example.org", "k", send=broken).ask("p", config) == {"ok": False, "text": "[ERROR] down", "model": config.model, "raw": "{}"}
+    assert Live("https://example.org", "k", send=broken, at_once=2).ask("p", config) == {"ok": False, "text": "[ERROR] down", "model": config.model, "raw": "{}"}
 
 
 def test_failed_replies_are_not_stored(spark, tmp_path):

@@ -1,7 +1,11 @@
+import gzip
 import struct
 
+from textveil.operators.anonymize import anonymize_batch, save_batch
 from textveil.plans.queries import SAMPLES, _capture, anonymize_batch_names
+from textveil.schema import DETECTION
 from textveil.sources.files import flattened, packets, read_json, read_pcap, read_text
+from textveil.sources.reports import get_logger, read_json_documents
 from textveil.streaming.detection import anonymized_stream
 
 
@@ -35,8 +39,50 @@ def test_captures_stop_and_tolerate():
     assert [p[0] for p in packets(short + one[24:])] == [2]
 
 
-def test_batches(spark):
-    assert anonymize_batch_names(spark, "/root/testdata/sf0.001").count() == 205
+def test_captures_of_other_forms():
+    one = _capture("hello")
+    frame = one[40:]
+    assert [*packets(gzip.compress(one))] == [*packets(one)] and [*packets(b"\x1f\x8bxx")] == []
+    pad = b"\0" * (-len(frame) % 4)
+
+    def block(kind, body):
+        size = struct.pack("<I", len(body) + 12)
+        return struct.pack("<I", kind) + size + body + size
+
+    section = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, 0))
+    packet = block(6, struct.pack("<IIIII", 0, 0, 0, len(frame), len(frame)) + frame + pad)
+    simple = block(3, struct.pack("<I", len(frame)) + frame + pad)
+    assert [p[3] for p in packets(section + packet + block(5, b"") + simple)] == [b"hello"] * 2 and [*packets(section + packet[:-2])] == []
+    raw = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 101) + struct.pack("<IIII", 0, 0, len(frame) - 14, len(frame) - 14) + frame[14:]
+    assert [*packets(raw)] == [(1, "unknown", "unknown", b"hello")]
+    names = frame[:34] + struct.pack("!HH", 4000, 53) + frame[38:]
+    assert [*packets(one[:24] + struct.pack("<IIII", 0, 0, len(names), len(names)) + names)] == []
+
+
+def test_deep_and_invalid_documents(spark, tmp_path):
+    assert flattened("[" * 100_000 + "]" * 100_000) == ""
+    for name, content in (("a.json", b'{"k": 1}'), ("b.json", b"{"), ("c.json", b"\xff{}")):
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[1]: r.document for r in read_json_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.json": '{"k": 1}', "b.json": None, "c.json": None}
+    assert read_json_documents(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_logs_go_to_a_file_once(tmp_path):
+    for _ in range(2):
+        logger = get_logger("textveil.test", str(tmp_path / "logs/app.log"))
+    logger.info("one line")
+    assert len(logger.handlers) == 2 and (tmp_path / "logs/app.log").read_text().count("one line") == 1
+
+
+def test_batches(spark, tmp_path):
+    batch = anonymize_batch_names(spark, "/root/testdata/sf0.001")
+    assert batch.count() == 206
+    save_batch(batch, str(tmp_path / "batch"))
+    stored = {r.file: r.content for r in spark.read.parquet(str(tmp_path / "batch")).collect()}
+    assert len(stored) == 412 and stored["absent.txt.anonymized.txt"] == "" and '"policy":"replace"' in stored["absent.txt.report.json"]
+    names = spark.createDataFrame([("a", None)], "name string, detections " + f"array<{DETECTION}>")
+    assert anonymize_batch(names, spark.createDataFrame([("a", "x")], "name string, text string")).count() == 0
 
 
 def test_a_stream_is_anonymized(spark, tmp_path):

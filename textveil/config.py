@@ -7,6 +7,13 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Config:
+    """The defaults, which must equal those of the service whose results this engine matches.
+
+    ``salt`` is a literal of every plan that pseudonymizes, so explained plans and event logs show it:
+    pseudonyms are made by expressions of the engine, which have no other way to a value. Keep plans and
+    event logs of pseudonymizing jobs as protected as pseudonym maps, which hold the originals themselves.
+    """
+
     mask_char: str = "*"
     preserve_last: int = 4
     salt: str = "project_default_salt"
@@ -15,7 +22,6 @@ class Config:
     prompt: str = "Analyze this anonymized customer report. Provide a summary and two key recommendations:\n\n"
     temperature: float = 0.3
     max_tokens: int = 512
-    report_root: str = "reports"
 
     def __post_init__(self):
         # An empty mask or salt means the default.

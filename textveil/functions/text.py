@@ -9,15 +9,19 @@ from textveil.config import Config
 from textveil.functions.patterns import LOG_EMAIL, LOG_NUMBER
 
 
+#: White space as str has it: the four separators below U+0020 are none to the expression engine.
+_SPACE = r"[\s\x1c-\x1f]"
+
+
 def stripped(text: Column) -> Column:
     """Without white space at either end; ``trim`` would only take spaces."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
 
 def normalize(text: Column) -> Column:
     """Line breaks and tabs as one space, runs of white space as one space, none at the ends; null is empty."""
     flat = F.regexp_replace(F.coalesce(text, F.lit("")), "[\r\n\t]+", " ")
-    return stripped(F.regexp_replace(flat, r"(?U)\s{2,}", " "))
+    return stripped(F.regexp_replace(flat, rf"(?U){_SPACE}{{2,}}", " "))
 
 
 def redact_for_log(text: Column, most: int = 200) -> Column:

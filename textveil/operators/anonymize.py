@@ -46,8 +46,8 @@ def anonymized(text: Column, found: Column, policy: str | None = "mask", config:
 def replace_given_spans(docs: DataFrame, policy: str | None = "mask", config: Config | None = None) -> DataFrame:
     """Anonymize spans that the caller brings, in an Arrow UDF: ``docs(key, text, detections)`` to ``(key, text)``.
 
-    Spans are trusted as they are and go from the last start to the first; one that lies outside the
-    text or is empty falls back to the first place of its value, or is skipped.
+    Spans are trusted as they are; one that lies outside the text or is empty goes to the first place of
+    its value, or nowhere. Spans that overlap are all hidden, each by its own replacement. A null text is null.
     """
     config, policy = config or Config(), checked(policy)
     import hashlib
@@ -61,16 +61,27 @@ def replace_given_spans(docs: DataFrame, policy: str | None = "mask", config: Co
         keep = 0 if "@" in value or len(value) <= config.preserve_last else config.preserve_last
         return config.mask_char * (len(value) - keep) + (value[-keep:] if keep else "")
 
+    def places(text: str, found) -> list[tuple[int, int, dict]]:
+        """Where each detection stands, in order."""
+        out = []
+        for d in found if found is not None else ():
+            value, inside = d["value"] or "", range(len(text) + 1)
+            start, end = int(d["start"] or 0), int(d["end"] or 0)
+            if not (start in inside and end in inside and start < end):
+                start = text.find(value) if value else -1
+                end = start + len(value)
+            if start >= 0:
+                out.append((start, end, d))
+        return sorted(out, key=lambda x: x[:2])
+
     def one(text: str | None, found) -> str | None:
-        for d in sorted([x for x in (found if found is not None else [])], key=lambda x: x["start"] or 0, reverse=True):
-            a, b = int(d["start"] or 0), int(d["end"] or 0)
-            if a < 0 or b > len(text) or a >= b:
-                a = text.find(d["value"] or "")
-                if a < 0:
-                    continue
-                b = a + len(d["value"] or "")
-            text = text[:a] + written(d) + text[b:]
-        return text
+        if text is None:
+            return None
+        pieces, at = [], 0
+        for start, end, d in places(text, found):
+            pieces += [text[at:start], written(d)]
+            at = max(at, end)
+        return "".join([*pieces, text[at:]])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -81,8 +92,24 @@ def replace_given_spans(docs: DataFrame, policy: str | None = "mask", config: Co
 
 
 def anonymize_batch(names: DataFrame, texts: DataFrame, policy: str | None = "mask", config: Config | None = None) -> DataFrame:
-    """``(name, anonymized, report)`` of named entries: ``names(name, detections)``, ``texts(name, text)``; a missing text is empty."""
+    """``(name, anonymized, report)`` of named entries: ``names(name, detections)``, ``texts(name, text)``.
+
+    A missing text is empty; an entry without a list of detections is left out.
+    """
     config, policy = config or Config(), checked(policy)
-    joined = names.join(texts.select("name", "text"), "name", "left").withColumn("text", F.coalesce("text", F.lit("")))
-    report = F.to_json(F.struct("detections", F.lit(policy).alias("policy")), {"ignoreNullFields": "false"})
-    return joined.select("name", anonymized(F.col("text"), F.col("detections"), policy, config).alias("anonymized"), report.alias("report"))
+    joined = names.where(F.col("detections").isNotNull()).join(texts.select("name", "text"), "name", "left")
+    shown = F.transform("detections", lambda d: F.struct(*(d[c].alias(c) for c in ("type", "value", "start", "end", "confidence", "rule"))))
+    report = F.to_json(F.struct(shown.alias("detections"), F.lit(policy).alias("policy")), {"ignoreNullFields": "false"})
+    hidden = F.when(F.col("text").isNull(), F.lit("")).otherwise(anonymized(F.col("text"), F.col("detections"), policy, config))
+    return joined.select("name", hidden.alias("anonymized"), report.alias("report"))
+
+
+def batch_files(batch: DataFrame) -> DataFrame:
+    """``(file, content)`` of a batch: ``<name>.anonymized.txt`` and ``<name>.report.json`` of each entry."""
+    files = F.array(F.struct(F.concat("name", F.lit(".anonymized.txt")).alias("file"), F.col("anonymized").alias("content")), F.struct(F.concat("name", F.lit(".report.json")).alias("file"), F.col("report").alias("content")))
+    return batch.select(F.explode(files).alias("f")).select("f.file", "f.content")
+
+
+def save_batch(batch: DataFrame, path: str) -> None:
+    """A batch's files as a table of ``(file, content)``: one object for each entry would swamp the store."""
+    batch_files(batch).write.mode("overwrite").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,5 +45,12 @@ def save_map(rows: DataFrame, path: str) -> None:
 
 
 def load_map(spark, path: str, run_id: str) -> DataFrame:
-    """A run's rows, read from its partition alone; none for a run without a map."""
-    return spark.read.schema("original string, pseudonym string, run_id string").parquet(path).where(F.col("run_id") == run_id).select("run_id", "original", "pseudonym")
+    """A run's rows, read from its partition alone; none for a run without a map, nor where no map was ever stored."""
+    schema = "original string, pseudonym string, run_id string"
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
+    return rows.where(F.col("run_id") == run_id).select("run_id", "original", "pseudonym")

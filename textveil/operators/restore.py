@@ -67,12 +67,12 @@ def restored_by_run(replies: DataFrame, maps_path: str, run_id: str, text_col: s
     """``replies`` of one run restored by its stored map; without a map they stay as they are, and an empty run id is an error."""
     if not run_id:
         raise ValueError("run_id is empty")
-    rows = load_map(replies.sparkSession, maps_path, run_id)
-    last = reversed_map(rows, "run_id")
-    # One run's map is as large as its texts' detections are many: it is joined, not collected.
-    keyed = replies.withColumn("_reply", F.monotonically_increasing_id())
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    held = each(keyed, F.array_distinct(pseudonyms_in(text)), "pseudonym", "_reply")
-    found = held.join(last.select("pseudonym", "original"), "pseudonym").groupBy("_reply").agg(F.map_from_entries(F.collect_list(F.struct("pseudonym", "original"))).alias("_originals"))
-    joined = keyed.join(found, "_reply", "left")
-    return joined.withColumn(out_col, F.when(F.col("_originals").isNull(), text).otherwise(substituted(text, F.col("_originals")))).drop("_originals", "_reply")
+    last = reversed_map(load_map(replies.sparkSession, maps_path, run_id), "run_id").select("pseudonym", "original")
+    # One run's map is as large as its texts' detections are many: it is joined, not collected. Replies meet
+    # their originals again by the digest of their text, which is the same however often they are read.
+    text, key = F.coalesce(F.col(text_col), F.lit("")), "_digest"
+    keyed = replies.withColumn(key, F.when(F.contains(text, F.lit("PSEUDO_")), F.sha2(text.cast("binary"), 256)))
+    held = each(keyed.where(F.col(key).isNotNull()), F.array_distinct(pseudonyms_in(text)), "pseudonym", key).distinct()
+    found = held.join(last, "pseudonym").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pseudonym", "original"))).alias("_originals"))
+    joined = keyed.join(found, key, "left")
+    return joined.withColumn(out_col, F.when(F.col("_originals").isNull(), text).otherwise(substituted(text, F.col("_originals")))).drop("_originals", key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -17,6 +18,7 @@ from textveil.schema import COMPLETION
 
 def mocked(prompt: Column, config: Config) -> Column:
     """The reply of the offline mock as ``COMPLETION``."""
+    # Fixed value: the sentence.
     text = F.concat(F.lit(f"[MOCK RESPONSE] Model {config.model} received "), F.length(prompt).cast("string"), F.lit(" characters."))
     return F.struct(F.lit(True).alias("ok"), text.alias("text"), F.lit(config.model).alias("model"), F.lit('{"mock": true}').alias("raw"))
 
@@ -28,7 +30,9 @@ class Live:
     url: str
     key: str
     timeout: float = 60.0
-    system: str = "You are a helpful assistant."
+    system: str = "You are a helpful assistant."  # fixed value
+    #: Requests that a task has under way at once.
+    at_once: int = 8
     #: (url, headers, payload, timeout) -> parsed reply; for tests and other transports.
     send: Callable[[str, dict, dict, float], dict] | None = None
 
@@ -68,10 +72,11 @@ def completed(docs: DataFrame, prompt: Column, config: Config, live: Live | None
     names = docs.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[names].copy()
-            out[out_col] = [live.ask(p, config) if isinstance(p, str) else None for p in frame["_prompt"]]
-            yield out
+        with ThreadPoolExecutor(live.at_once) as pool:
+            for frame in frames:
+                out = frame[names].copy()
+                out[out_col] = [*pool.map(lambda p: live.ask(p, config) if isinstance(p, str) else None, frame["_prompt"])]
+                yield out
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return with_prompt.mapInPandas(run, f"{ddl}, `{out_col}` {COMPLETION}")

@@ -79,6 +79,9 @@ def detection(source: str, p: str = "") -> str:
 
 _PSEUDONYM = f"'PSEUDO_' || substr(sha256(value || '{_CONFIG.salt}'), 1, 12)"
 _MASK = "CASE WHEN contains(value, '@') OR length(value) <= 4 THEN repeat('*', length(value)) ELSE repeat('*', length(value) - 4) || right(value, 4) END"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_SAMPLES = "SELECT * FROM (VALUES " + ", ".join(f"({-i}, {_text(t)})" for i, t in SAMPLES.items()) + ") AS s(i, text)"
+_FLAT = "regexp_replace(regexp_replace(regexp_replace(text, '[\\r\\n\\t]+', ' ', 'g'), '\\s{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 _ROW = 'doc_id, type, value, start, "end", confidence, rule'
 BASE = f"WITH RECURSIVE docs AS ({DOCS}), " + detection("docs")
 
@@ -115,14 +118,13 @@ _REPLIES = hidden("replies", _PSEUDONYM)
 _ROUND = f"{BASE}, {_MAPS}, {_REPLIES}, {restored('back', 'replies', 'maps')}"
 _PASSED = "PASS ✅"
 _MOCK = f"'[MOCK RESPONSE] Model {_CONFIG.model} received ' || ({len(_CONFIG.prompt)} + length(r.text)) || ' characters.'"
-_ANALYZED = f"""{BASE}, {_REPLIES}, {_MAPS}, {detection('replies', 'again_')},
+_ANALYZED = f"""WITH RECURSIVE docs AS (SELECT doc_id, {_STRIP.format("coalesce(text, '')")} AS text FROM ({DOCS})), {detection("docs")}, {_REPLIES}, {_MAPS}, {detection('replies', 'again_')},
   counts AS (SELECT d.doc_id, count(c.doc_id) AS n FROM docs d LEFT JOIN clean c ON c.doc_id = d.doc_id GROUP BY ALL),
   twice AS (SELECT doc_id FROM maps GROUP BY doc_id, pseudonym HAVING count(*) > 1),
   reports AS (
-    SELECT c.doc_id, c.n, r.text AS anonymized, CASE WHEN c.n > 0 THEN {_MOCK} END AS reply,
+    SELECT c.doc_id, c.n, r.text <> '' AS ok, r.text AS anonymized, CASE WHEN c.n > 0 THEN {_MOCK} END AS reply,
       CASE WHEN c.n > 0 THEN CASE WHEN c.doc_id NOT IN (SELECT doc_id FROM again_clean) AND c.doc_id NOT IN (SELECT doc_id FROM twice) THEN 'PASS ✅' ELSE 'FAIL ❌' END END AS status
     FROM counts c JOIN replies r ON r.doc_id = c.doc_id)"""
-_FLAT = "regexp_replace(regexp_replace(regexp_replace(text, '[\\r\\n\\t]+', ' ', 'g'), '\\s{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 ORACLES: dict[str, str] = {
     "normalize_documents": f"SELECT doc_id, {_FLAT} AS text FROM ({DOCS})",
@@ -143,7 +145,10 @@ ORACLES: dict[str, str] = {
     "anonymize_mask": f"{BASE}, {hidden('out', _MASK)} SELECT doc_id, text AS anonymized FROM out",
     "anonymize_replace": f"{BASE}, {hidden('out', chr(39) + '<' + chr(39) + ' || type || ' + chr(39) + '>' + chr(39))} SELECT doc_id, text AS anonymized FROM out",
     "anonymize_pseudonymize": f"{BASE}, {_REPLIES} SELECT doc_id, text AS anonymized FROM replies",
-    "anonymize_batch": f"{BASE}, {hidden('out', chr(39) + '<' + chr(39) + ' || type || ' + chr(39) + '>' + chr(39))} SELECT 'doc' || doc_id || '.txt' AS name, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS anonymized FROM out",
+    "anonymize_batch": f"""{BASE}, {hidden('out', chr(39) + '<' + chr(39) + ' || type || ' + chr(39) + '>' + chr(39))},
+      listed AS (SELECT o.doc_id, to_json(coalesce(list({{'type': type, 'value': value, 'start': start, 'end': "end", 'confidence': confidence, 'rule': rule}} ORDER BY start) FILTER (WHERE type IS NOT NULL), [])) AS found FROM out o LEFT JOIN clean c ON c.doc_id = o.doc_id GROUP BY o.doc_id)
+      SELECT 'doc' || o.doc_id || '.txt' AS name, text AS anonymized, '{{"detections":' || found || ',"policy":"replace"}}' AS report FROM out o JOIN listed l ON l.doc_id = o.doc_id
+      UNION ALL SELECT 'absent.txt', '', '{{"detections":' || found || ',"policy":"replace"}}' FROM listed WHERE doc_id = -1""",
     "pseudonymize_values": f"{BASE} SELECT doc_id, start, value, {_PSEUDONYM} AS pseudonym FROM clean",
     "pseudonymize_customers": f"SELECT DISTINCT value AS original, {_PSEUDONYM} AS pseudonym FROM (SELECT c_name AS value FROM customer) WHERE value <> ''",
     "pseudonym_map": f"{BASE} SELECT DISTINCT value AS original, {_PSEUDONYM} AS pseudonym FROM clean",
@@ -151,7 +156,7 @@ ORACLES: dict[str, str] = {
     "denormalize_roundtrip": f"""{_ROUND} SELECT b.doc_id, b.text AS restored,
       CAST(len(regexp_extract_all(r.text, 'PSEUDO_[0-9a-fA-F]{{12}}')) - len(list_filter(regexp_extract_all(r.text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, 'PSEUDO_[0-9a-fA-F]{{12}}'))) AS BIGINT) AS unrestorable
       FROM back b JOIN replies r ON r.doc_id = b.doc_id""",
-    "denormalize_by_run": f"{BASE}, {_MAPS}, {_REPLIES}, some_maps AS (SELECT * FROM maps WHERE doc_id % 3 <> 0), {restored('back', 'replies', 'some_maps')} SELECT 'run_' || doc_id AS run_id, text AS restored FROM back",
+    "denormalize_by_run": f"{BASE}, {_MAPS}, {_REPLIES}, {restored('back', 'replies', 'maps')} SELECT 'run_' || doc_id AS run_id, text AS restored FROM back UNION ALL VALUES ('run_lost', 'to PSEUDO_fa11579224fb')",
     "residual_pseudonyms": f"{BASE}, {_MAPS}, {_REPLIES}, {left('residue', 'replies')} SELECT * FROM residue",
     "validate_anonymized": f"""{BASE}, {hidden('out', _MASK)}, {detection('out', 'again_')}
       SELECT doc_id, n = 0 AS passed, n AS pii_detected, CASE WHEN n = 0 THEN 'No PII detected ✅' ELSE n || ' PII instances still present ❌' END AS message
@@ -168,10 +173,14 @@ ORACLES: dict[str, str] = {
       SELECT doc_id, clean, restored, map, CASE WHEN clean AND restored AND map THEN '{_PASSED}' ELSE 'FAIL ❌' END AS overall_status FROM (
         SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM again_clean) AS clean, doc_id NOT IN (SELECT doc_id FROM residue) AS restored, doc_id NOT IN (SELECT doc_id FROM twice) AS map FROM back)""",
     "mock_completion": f"{BASE}, {_REPLIES} SELECT doc_id, true AS ok, {_MOCK} AS text, '{_CONFIG.model}' AS model FROM replies r WHERE doc_id IN (SELECT doc_id FROM clean)",
-    "analyze_batch": f"""{_ANALYZED} SELECT true AS ok, doc_id, CASE WHEN n = 0 THEN 'No PII found in input text.' END AS message, n AS pii_found, anonymized AS anonymized_text, reply AS llm_text, reply AS llm_denormalized, status FROM reports""",
-    "report_listing": f"{_ANALYZED} SELECT doc_id, coalesce(status, 'UNKNOWN') AS status, n AS pii_found FROM reports",
-    "status_summary": f"{_ANALYZED} SELECT contains(coalesce(status, 'UNKNOWN'), 'PASS') AS passed, count(*) AS runs, CAST(sum(n) AS BIGINT) AS pii_found FROM reports GROUP BY ALL",
+    "analyze_batch": f"""{_ANALYZED} SELECT ok, doc_id, CASE WHEN ok AND n = 0 THEN 'No PII found in input text.' END AS message, CASE WHEN ok THEN n END AS pii_found, CASE WHEN ok THEN anonymized END AS anonymized_text, reply AS llm_text, reply AS llm_denormalized, status FROM reports""",
+    "report_listing": f"{_ANALYZED} SELECT doc_id, coalesce(status, 'UNKNOWN') AS status, n AS pii_found FROM reports WHERE ok",
+    "status_summary": f"{_ANALYZED} SELECT contains(coalesce(status, 'UNKNOWN'), 'PASS') AS passed, count(*) AS runs, CAST(sum(n) AS BIGINT) AS pii_found FROM reports WHERE ok GROUP BY ALL",
     "log_redaction": f"""SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '[EMAIL_REDACTED]', 'g'), '([\\p{{L}}\\p{{N}}_]+)', '{_W}\\1{_W}', 'g'), '{_W}\\d{{4,}}{_W}', '[NUM_REDACTED]', 'g'), '{_W}', '') AS line
       FROM (SELECT doc_id, CASE WHEN length(flat) > 200 THEN substr(flat, 1, 200) || '...(truncated)' ELSE flat END AS line FROM (SELECT doc_id, regexp_replace(replace(replace(text, chr(10), ' '), chr(13), ' '), '^\\s+|\\s+$', '', 'g') AS flat FROM ({DOCS})))""",
     "run_ids_from_events": "SELECT event_id, 'run_' || strftime(ts, '%Y%m%d_%H%M%S') AS run_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events",
+    "pcap_payloads": f"SELECT '/in/' || i || '.pcap' AS path, CAST(1 AS INTEGER) AS packet_no, '10.0.0.1' AS src, '10.0.0.2' AS dst, {_FLAT} AS text FROM ({_SAMPLES}) WHERE {_FLAT} <> ''",
+    "extract_dispatch": f"""SELECT '/in/' || i || '.pcap' AS path, {_FLAT} AS text FROM ({_SAMPLES})
+      UNION ALL SELECT '/in/' || i || '.TXT', {_FLAT} FROM (SELECT i, text || chr(10) || chr(65533) AS text FROM ({_SAMPLES}))
+      UNION ALL VALUES ('/in/a.json', 'a.b.[0]: 1 | a.b.[1]: True | a.b.[2]: None | d: x'), ('/in/b.json', ''), ('/in/c.bin', '')""",
 }

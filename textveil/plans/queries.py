@@ -12,12 +12,12 @@ from textveil.config import Config
 from textveil.functions.patterns import DETECTORS, PSEUDONYM
 from textveil.functions.text import card_score, mask, normalize, pseudonym, redact_for_log, run_id
 from textveil.operators.anonymize import anonymize_batch, anonymized
-from textveil.operators.detect import candidates, each, exploded, matches, resolve, spans, with_detections
+from textveil.operators.detect import candidates, detect, each, exploded, matches, resolve, spans, with_detections
 from textveil.operators.maps import pseudonym_map, pseudonymize_values
 from textveil.operators.restore import residuals, restored, unrestorable
-from textveil.operators.validate import validate_anonymized, validate_denormalized, validate_map, validation_report
+from textveil.operators.validate import row_validation, validate_anonymized, validate_denormalized, validate_map
 from textveil.plans.completion import mocked
-from textveil.plans.pipeline import analyze, maps_of
+from textveil.plans.pipeline import analyze, maps_of, pseudonymized, restored_by_own
 from textveil.sources.files import extracted, flatten_json, packet_rows
 from textveil.sources.reports import listing, status_summary
 
@@ -96,6 +96,11 @@ def pii_detections(spark, sf_dir):
     return _rows(exploded(detected(spark, sf_dir), "detections", "doc_id"))
 
 
+def detect_clean(spark, sf_dir):
+    """The whole of detection as one expression of the text."""
+    return _rows(exploded(documents(spark, sf_dir).select("doc_id", detect(F.col("text")).alias("detections")), "detections", "doc_id"))
+
+
 def pii_type_counts(spark, sf_dir):
     return exploded(detected(spark, sf_dir), "detections", "doc_id").groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
 
@@ -117,10 +122,12 @@ def pseudonymize_customers(spark, sf_dir):
 
 
 def anonymize_batch_names(spark, sf_dir):
-    """Detections by document name; the texts of every seventh are missing."""
-    found = detected(spark, sf_dir).withColumn("name", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    names = found.select("name", F.when(F.col("doc_id") % 7 == 0, F.array().cast(found.schema["detections"].dataType)).otherwise(F.col("detections")).alias("detections"))
-    return anonymize_batch(names, found.where("doc_id % 7 <> 0").select("name", "text"), "replace", CONFIG).select("name", "anonymized")
+    """Detections by document name, and those of a name without a text."""
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    found = detected(spark, sf_dir).withColumn("name", name)
+    more = with_detections(spark.createDataFrame([("absent.txt", SAMPLES[-1])], "name string, text string"))
+    names = found.select("name", "detections").union(more.select("name", "detections"))
+    return anonymize_batch(names, documents(spark, sf_dir).select(name.alias("name"), "text"), "replace", CONFIG)
 
 
 def doc_maps(spark, sf_dir):
@@ -141,19 +148,25 @@ def replies(spark, sf_dir) -> DataFrame:
     return hidden(spark, sf_dir, "pseudonymize").select("doc_id", F.col("anonymized").alias("reply"), "anonymized")
 
 
+def round_trip(spark, sf_dir) -> DataFrame:
+    """Replies restored by the maps of their own rows, in one pass."""
+    return pseudonymized(documents(spark, sf_dir), CONFIG).withColumn("restored", restored_by_own(F.col("anonymized"), CONFIG))
+
+
 def denormalize_roundtrip(spark, sf_dir):
-    back = restored(replies(spark, sf_dir), doc_maps(spark, sf_dir), "reply", "restored", ("doc_id",))
-    return back.select("doc_id", "restored", unrestorable(F.col("anonymized")).cast("long").alias("unrestorable"))
+    return round_trip(spark, sf_dir).select("doc_id", "restored", unrestorable(F.col("anonymized")).cast("long").alias("unrestorable"))
 
 
 def _by_run(df: DataFrame) -> DataFrame:
-    """Documents as runs; every third has lost its map."""
+    """Documents as runs."""
     return df.withColumn("run_id", F.concat(F.lit("run_"), F.col("doc_id").cast("string"))).drop("doc_id")
 
 
 def denormalize_by_run(spark, sf_dir):
-    maps = _by_run(doc_maps(spark, sf_dir).where("pmod(doc_id, 3) <> 0"))
-    return restored(_by_run(replies(spark, sf_dir)), maps, "reply", "restored").select("run_id", "restored")
+    """Replies of runs restored by stored maps, and one of a run without a map."""
+    lost = spark.createDataFrame([("to PSEUDO_fa11579224fb", "run_lost")], "reply string, run_id string")
+    runs = _by_run(replies(spark, sf_dir).select("doc_id", "reply")).select("reply", "run_id").union(lost)
+    return restored(runs, _by_run(doc_maps(spark, sf_dir)), "reply", "restored").select("run_id", "restored")
 
 
 def residual_pseudonyms(spark, sf_dir):
@@ -166,9 +179,8 @@ def anonymized_checks(spark, sf_dir):
 
 def denormalized_checks(spark, sf_dir):
     """Replies of which every second was not restored."""
-    rows = doc_maps(spark, sf_dir)
-    back = restored(replies(spark, sf_dir), rows, "reply", "restored", ("doc_id",)).withColumn("restored", F.when(F.col("doc_id") % 2 == 0, F.col("reply")).otherwise(F.col("restored")))
-    return validate_denormalized(back, rows, "restored", ("doc_id",)).select("doc_id", "passed", "remaining", "message")
+    back = round_trip(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("anonymized")).otherwise(F.col("restored")).alias("restored"))
+    return validate_denormalized(back, doc_maps(spark, sf_dir), "restored", ("doc_id",)).select("doc_id", "passed", "remaining", "message")
 
 
 def validate_maps(spark, sf_dir):
@@ -179,15 +191,15 @@ def validate_maps(spark, sf_dir):
 
 
 def validation_reports(spark, sf_dir):
-    rows = doc_maps(spark, sf_dir)
-    back = restored(replies(spark, sf_dir), rows, "reply", "restored", ("doc_id",))
-    report = validation_report(back, rows, keys=("doc_id",))
-    return report.select("doc_id", F.col("anonymized_validation.passed").alias("clean"), F.col("denormalized_validation.passed").alias("restored"), F.col("pseudomap_validation.passed").alias("map"), "overall_status")
+    v = F.col("validation")
+    report = row_validation(round_trip(spark, sf_dir), "anonymized", "restored", "pseudonyms")
+    return report.select("doc_id", v["anonymized_validation"]["passed"].alias("clean"), v["denormalized_validation"]["passed"].alias("restored"), v["pseudomap_validation"]["passed"].alias("map"), v["overall_status"].alias("overall_status"))
 
 
 def mock_completion(spark, sf_dir):
-    text = hidden(spark, sf_dir, "pseudonymize").where(F.size("detections") > 0)
-    return text.select("doc_id", mocked(F.concat(F.lit(CONFIG.prompt), F.col("anonymized")), CONFIG).alias("c")).select("doc_id", "c.ok", "c.text", "c.model")
+    text = hidden(spark, sf_dir, "pseudonymize")
+    sent = F.when(F.size("detections") > 0, F.array(mocked(F.concat(F.lit(CONFIG.prompt), F.col("anonymized")), CONFIG)))
+    return each(text, sent, "c", "doc_id").select("doc_id", "c.ok", "c.text", "c.model")
 
 
 def reports(spark, sf_dir) -> DataFrame:
@@ -249,7 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "confidence_by_type": confidence_by_type,
     "detect_candidates": detect_candidates,
     "detect_resolved": detect_resolved,
-    "detect_clean": pii_detections,
+    "detect_clean": detect_clean,
     "pii_detections": pii_detections,
     "pii_type_counts": pii_type_counts,
     "mask_values": masked_values,

@@ -1,6 +1,5 @@
 """Schemas of the engine's tables, as Spark DDL."""
 
 DETECTION = "struct<type:string,value:string,start:int,end:int,confidence:double,rule:string>"
-PSEUDONYM_MAP = "run_id string, original string, pseudonym string"
 PACKET = "packet_no int, src string, dst string, text string"
 COMPLETION = "struct<ok:boolean,text:string,model:string,raw:string>"
