@@ -173,7 +173,7 @@ ORACLES: dict[str, str] = {
       SELECT doc_id, clean, restored, map, CASE WHEN clean AND restored AND map THEN '{_PASSED}' ELSE 'FAIL ❌' END AS overall_status FROM (
         SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM again_clean) AS clean, doc_id NOT IN (SELECT doc_id FROM residue) AS restored, doc_id NOT IN (SELECT doc_id FROM twice) AS map FROM back)""",
     "mock_completion": f"{BASE}, {_REPLIES} SELECT doc_id, true AS ok, {_MOCK} AS text, '{_CONFIG.model}' AS model FROM replies r WHERE doc_id IN (SELECT doc_id FROM clean)",
-    "analyze_batch": f"""{_ANALYZED} SELECT ok, doc_id, CASE WHEN ok AND n = 0 THEN 'No PII found in input text.' END AS message, CASE WHEN ok THEN n END AS pii_found, CASE WHEN ok THEN anonymized END AS anonymized_text, reply AS llm_text, reply AS llm_denormalized, status FROM reports""",
+    "analyze_batch": f"""{_ANALYZED} SELECT ok, doc_id, CASE WHEN ok AND n = 0 THEN 'No PII found in input text.' END AS message, n AS pii_found, CASE WHEN ok THEN anonymized END AS anonymized_text, reply AS llm_text, reply AS llm_denormalized, status FROM reports""",
     "report_listing": f"{_ANALYZED} SELECT doc_id, coalesce(status, 'UNKNOWN') AS status, n AS pii_found FROM reports WHERE ok",
     "status_summary": f"{_ANALYZED} SELECT contains(coalesce(status, 'UNKNOWN'), 'PASS') AS passed, count(*) AS runs, CAST(sum(n) AS BIGINT) AS pii_found FROM reports WHERE ok GROUP BY ALL",
     "log_redaction": f"""SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '[EMAIL_REDACTED]', 'g'), '([\\p{{L}}\\p{{N}}_]+)', '{_W}\\1{_W}', 'g'), '{_W}\\d{{4,}}{_W}', '[NUM_REDACTED]', 'g'), '{_W}', '') AS line

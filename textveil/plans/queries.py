@@ -208,7 +208,7 @@ def reports(spark, sf_dir) -> DataFrame:
 
 def analyze_batch(spark, sf_dir):
     found = reports(spark, sf_dir)
-    return found.select("ok", "doc_id", "message", F.size("detections").cast("long").alias("pii_found"), "anonymized_text", "llm_text", "llm_denormalized", F.col("validation.overall_status").alias("status"))
+    return found.select("ok", "doc_id", "message", F.greatest(F.size("detections"), F.lit(0)).cast("long").alias("pii_found"), "anonymized_text", "llm_text", "llm_denormalized", F.col("validation.overall_status").alias("status"))
 
 
 def report_listing(spark, sf_dir):
