@@ -4,9 +4,9 @@ Each stage works on all rows that its predecessor kept, and its decisions take e
 documents go, toxic documents go, one document of each group of near duplicates stays (five-word
 shingles, Jaccard similarity of 0.8), passages that earlier documents hold are cut out, and what is
 left is packed into sequences of at most 2048 tokens. All stages but the last return the columns of
-``documents``. SQL cannot express the whole; tests hold near duplicates and passages against plain
-Python, and the other stages' operators against SQL, held-out accuracy or round trips. No test compares
-the rows and texts of the whole pipeline with a plain version of it.
+``documents``. SQL cannot express the whole; ``tests/llm/test_stages.py`` holds each stage, on what its
+predecessor kept, against a plain version of it: rules and shingles counted with dictionaries, the
+field's sums word by word, cuts character by character, tokens from the library itself.
 """
 
 from __future__ import annotations
