@@ -117,8 +117,8 @@ def _window_rows(batches, width: int, span: int, distinct: int) -> Iterator[pa.R
             owner = owners(first)[at]
             points = block.points()
             zero = points[block.offsets[owner]]
-            columns = value.view(np.int64), ids[block.first + owner].astype(np.int64), points[starts[at]] - zero, points[ends[at + width - 1]] - zero
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "id", "start", "end"])
+            columns = value.view(np.int64), ids[block.first + owner], points[starts[at]] - zero, points[ends[at + width - 1]] - zero
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["token", "id", "start", "end"])
 
 
 def _later(batches) -> Iterator[pa.RecordBatch]:
@@ -279,8 +279,8 @@ def _line_rows(batches, min_words: int) -> Iterator[pa.RecordBatch]:
             raw = block.data.tobytes()
             names = np.array([xxhash.xxh64_intdigest(raw[a:b], seed=42) for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)], dtype=np.uint64)
             zero = points[block.offsets[owner[long]]]
-            columns = names.view(np.int64), ids[block.first + owner[long]].astype(np.int64), points[begin[long]] - zero, points[end[long]] - zero
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["line", "id", "start", "end"])
+            columns = names.view(np.int64), ids[block.first + owner[long]], points[begin[long]] - zero, points[end[long]] - zero
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["line", "id", "start", "end"])
 
 
 def repeated_passages(

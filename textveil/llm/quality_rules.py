@@ -8,7 +8,7 @@ Defined results: a null or empty text, or one of white space alone, has no words
 0, and it fails the base rule for having fewer than ``min_words`` words. Rows are judged alone, so
 ties and repeated rows get equal results, an empty table gives an empty table, and columns other than
 the id and the text are never read (scoring) or pass through unchanged (filtering). Memory: some
-sixty times a block of one megabyte or the longest text.
+twenty-five times a block of one megabyte or the longest text.
 """
 
 from __future__ import annotations
