@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from textveil.llm import quality_mil, toxicity
-from textveil.llm.sampling import labelled_sample
+from textveil.llm.sampling import fitted, labelled_sample
 from textveil.llm.textblock import blocks
 
 SF = "/root/testdata/sf0.001"
@@ -53,10 +53,10 @@ def tables(spark):
     return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
 
 
-@pytest.mark.parametrize("module, fitted", [(quality_mil, quality_mil.fit_bags), (toxicity, toxicity.fit_field)])
-def test_scores_depend_on_the_text_alone(tables, module, fitted):
+@pytest.mark.parametrize("module, fitting", [(quality_mil, quality_mil.fit_bags), (toxicity, toxicity.fit_field)])
+def test_scores_depend_on_the_text_alone(tables, module, fitting):
     docs, labels = tables
-    model = fitted(docs, labels)
+    model = fitting(docs, labels)
     texts = [r.text or "" for r in docs.collect()] + ["", " ", "a", "x " * 70000]
 
     def scores(chosen):
@@ -82,5 +82,6 @@ def test_the_logits_of_scoring_are_those_of_training(tables):
 def test_a_sample_holds_one_text_for_each_id(spark):
     docs = spark.createDataFrame([(i % 40, f"text {i % 40}") for i in range(4000)] + [(None, "x"), (3, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(3, 0, 1)], "doc_id long, quality int, toxic int")
-    got = labelled_sample(docs, labels, "quality", {0: 9, 1: 9}, 100)
+    got = fitted(labelled_sample(docs, labels, "quality", {0: 9, 1: 9}, 100), lambda sample: sample)
+    assert got == sorted(got, key=lambda x: int(x[0].split()[1])) and fitted(labelled_sample(docs, labels.limit(0), "quality", {0: 9}, 100), len) == 0
     assert len(got) == len({t for t, _ in got}) <= 18 and all(int(t.split()[1]) % 2 == k for t, k in got)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.sampling import held_out, labelled_sample
+from textveil.llm.sampling import fitted, held_out, labelled_sample
 from textveil.llm.textblock import Block, blocks
 
 
@@ -224,7 +224,7 @@ def score_block(block: Block, model: BagModel) -> np.ndarray:
 
 def fit_bags(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: BagSettings | None = None) -> BagModel:
     s = settings or BagSettings()
-    return fit(labelled_sample(docs, labels, "quality", {0: s.per_label, 1: s.per_label}, s.max_chars, id_col, text_col), s)
+    return fitted(labelled_sample(docs, labels, "quality", {0: s.per_label, 1: s.per_label}, s.max_chars, id_col, text_col), lambda sample: fit(sample, s))
 
 
 def score_quality(docs: DataFrame, model: BagModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

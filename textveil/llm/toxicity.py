@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.sampling import held_out, labelled_sample
+from textveil.llm.sampling import fitted, held_out, labelled_sample
 from textveil.llm.textblock import Block, blocks, mix, totals
 
 _WORD = np.zeros(256, dtype=bool)
@@ -279,8 +279,8 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: FieldSettings | None = None) -> FieldModel:
-    settings = settings or FieldSettings()
-    return fit(labelled_sample(docs, labels, "toxic", {0: settings.clean_docs, 1: settings.toxic_docs}, settings.max_chars, id_col, text_col), settings)
+    s = settings or FieldSettings()
+    return fitted(labelled_sample(docs, labels, "toxic", {0: s.clean_docs, 1: s.toxic_docs}, s.max_chars, id_col, text_col), lambda sample: fit(sample, s))
 
 
 def score_toxicity(docs: DataFrame, model: FieldModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
