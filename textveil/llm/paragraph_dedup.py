@@ -24,6 +24,7 @@ table; other columns are not read (finding) or pass through unchanged (removing)
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import checkpointed, fresh, looked_up
+from textveil.llm.common import checkpointed, deleted, fresh, looked_up, shared_folder, stored_at
 from textveil.llm.jaccard_join import BROADCAST_IDS, class_keys, linked_components, meta_of, shingle_sets
-from textveil.llm.textblock import blocks, mix, owners, windows
+from textveil.llm.textblock import Block, blocks, mix, owners, windows
 
 
 def tuned(percent: int = 80, recall: float = 0.99, rows: int = 2) -> int:
@@ -265,22 +266,38 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["id", "start", "end", "kept"])
 
 
+def _long_lines(block: Block, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Lines of at least ``min_words`` words: their text's number in the block, their bytes' begin and end, and the bytes."""
+    starts, _, _ = block.words()
+    begin, end, first = block.spans(block.data != 0x0A)
+    long = np.flatnonzero(np.searchsorted(starts, end) - np.searchsorted(starts, begin) >= min_words)
+    begin, end, raw = begin[long], end[long], block.data.tobytes()
+    return owners(first)[long], begin, end, [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+
+
+def _names(lines: list[bytes]) -> pa.Array:
+    """The xxhash64 of each line, as Spark has it."""
+    return pa.array(np.array([xxhash.xxh64_intdigest(x, seed=42) for x in lines], dtype=np.uint64).view(np.int64))
+
+
+def _line_texts(batches, min_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) of lines of at least ``min_words`` words, named by their hash."""
+    for batch in batches:
+        for block in blocks(batch.column(0)):
+            lines = _long_lines(block, min_words)[3]
+            yield pa.RecordBatch.from_arrays([_names(lines), pa.array(lines, pa.binary()).view(pa.string())], ["id", "text"])
+
+
 def _line_rows(batches, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows (line, id, start, end) of lines of at least ``min_words`` words; ``line`` is the xxhash64 of the line, as Spark has it."""
+    """Rows (line, id, start, end) of lines of at least ``min_words`` words."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for block in blocks(batch.column(1)):
-            starts, _, _ = block.words()
-            begin, end, first = block.spans(block.data != 0x0A)
-            n = np.searchsorted(starts, end) - np.searchsorted(starts, begin)
-            owner = owners(first)
-            long = np.flatnonzero(n >= min_words)
+            owner, begin, end, lines = _long_lines(block, min_words)
             points = block.points()
-            raw = block.data.tobytes()
-            names = np.array([xxhash.xxh64_intdigest(raw[a:b], seed=42) for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)], dtype=np.uint64)
-            zero = points[block.offsets[owner[long]]]
-            columns = names.view(np.int64), ids[block.first + owner[long]], points[begin[long]] - zero, points[end[long]] - zero
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["line", "id", "start", "end"])
+            zero = points[block.offsets[owner]]
+            columns = ids[block.first + owner], points[begin] - zero, points[end] - zero
+            yield pa.RecordBatch.from_arrays([_names(lines), *(pa.array(x.astype(np.int64)) for x in columns)], ["line", "id", "start", "end"])
 
 
 def repeated_passages(
@@ -290,10 +307,12 @@ def repeated_passages(
     """``(id_col, start, end, kept_id)``: code points of each removal, and a document that keeps the passage."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     bands = tuned(percent, recall, rows)
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("text")).where(F.length("text") >= 2 * min_words - 1)
-    lines = lines.where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words).select(F.xxhash64("text").alias("id"), "text")
+    # Lines are cut out of the texts once, to the shared folder, as they are read three times.
+    at = f"{shared_folder(docs.sparkSession)}/lines-{uuid.uuid4().hex}"
+    lines = stored_at(docs.select("text").mapInArrow(lambda b: _line_texts(b, min_words), "id long, text string"), at)
     comps = linked_components(lines, k, percent, lambda table: lambda b: _band_rows(b, k, bands, rows), count_frequent=False, unique=False)
     comps = checkpointed(comps.select(F.col("id").alias("line"), "component", "copies").distinct())
+    deleted(docs.sparkSession, at)
     many = comps.groupBy("component").agg(F.count("*").alias("key_rows"), F.max("copies").alias("most")).where("key_rows > 1 or most > 1").drop("most")
     shared = checkpointed(looked_up(comps, many, "component", comps.count()).select("line", "component"))
     few = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
