@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textveil.llm import common
+from textveil.llm import common, components
 from textveil.llm.components import connected_components
 from textveil.llm.jaccard_join import PAIRS, _prefix_pairs, _prefix_rows, _star_pairs, jaccard_components, keep_first, meta_of, shingle_sets, sketch, sketch_words
 from textveil.llm.paragraph_dedup import cut, remove_passages, repeated_passages
@@ -110,7 +110,9 @@ def test_stars_span_their_groups(run_rows):
     assert len(out) <= sum(len(g) + 3 for g in groups.values())
 
 
-def test_hubs_are_looked_up(spark):
+def test_hubs_are_looked_up(spark, monkeypatch):
+    for module in (common, components):
+        monkeypatch.setattr(module, "KEY_ROWS", 500)
     links = [(1, i) for i in range(2, 3000)] + [(5000 + i, 9000) for i in range(2000)] + [(9000, 2999)] + [(i, i + 1) for i in range(20000, 20040)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: 1 if x < 20000 else 20000 for a, b in links for x in (a, b)}
@@ -121,7 +123,8 @@ def test_hubs_are_looked_up(spark):
     assert common.fresh("A", ["a", "a_"]) == "A__"
 
 
-def test_many_exact_copies_and_a_large_family(spark):
+def test_many_exact_copies_and_a_large_family(spark, monkeypatch):
+    monkeypatch.setattr(common, "KEY_ROWS", 300)
     rng = random.Random(12)
     words = [f"w{rng.randint(0, 500)}" for _ in range(80)]
     texts = [" ".join(words)] * 900

@@ -29,8 +29,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 #: Keys that are looked up in a broadcast: fewer than this, as each holds more than such a part of the rows.
 HOT_KEYS = 10_000
-#: Rows of one key that a task takes in any case.
-KEY_ROWS = 500
+#: Rows of one key that a task takes in any case: below, two branches of a plan would cost more than they save.
+KEY_ROWS = 20_000
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
@@ -87,7 +87,8 @@ def pieces(lengths, most: int) -> Iterator[tuple[int, int]]:
 def importable(spark: SparkSession) -> SparkSession:
     """Let Python workers find this package where the driver has it, if it is not installed there.
 
-    Rows of whole texts are large: a batch of a thousand bounds what a worker and its executor hold.
+    Rows of whole texts are large: a batch of a thousand bounds what a worker and its executor hold. The
+    setting stays with the session, as queries run when their caller asks for rows.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     import textveil
