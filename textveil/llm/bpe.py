@@ -8,7 +8,7 @@ tokens is the encoding of its text if and only if each pair of neighbours is, an
 result comes from one encoding; the words that the tokeniser splits off are in step from the first
 common token on.
 
-Texts that are not long are encoded whole; those of Latin characters alone by a table of words that
+Texts of up to ``long_chars`` characters, four leaves, are encoded whole; those of Latin characters alone by a table of words that
 the library has encoded before (bounded by ``memo_words``, then begun anew), all others by the
 library itself.
 

@@ -7,7 +7,8 @@ this exactly. The machine walks the roles of a conversation in the order of its
 whether their order is valid; invalid conversations are formatted whole all the same, and flagged.
 
 Turns are dealt by conversation and sorted within partitions; formatting and reading back are streams
-that hold one turn, so a conversation of any length is never in memory as a whole.
+that hold one turn, so a conversation of any length is never in memory as a whole. One conversation is
+one task's: what a turn may be, and the digest of all turns, follow from the turns before.
 
 Defined results: a null text or role is empty. Turns with equal numbers go by role, then by text, and
 repeated rows are repeated turns. Rows with a null conversation id form one conversation. An empty
